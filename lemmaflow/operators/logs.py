@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.columns import let
 from lemmaflow.functions.ids import clean_id, strip_space
 
 FOUND = ["job_id", "first_index", "last_index"]
@@ -192,9 +193,7 @@ def entries(placed: DataFrame) -> DataFrame:
     level = F.upper(F.when(keyed, _field(F.col("body"), "level|lvl|severity")).otherwise(F.nullif(level_head, F.lit(""))))
     # One spelling a level.
     short = {"T": "TRACE", "D": "DEBUG", "I": "INFO", "W": "WARNING", "E": "ERROR", "F": "FATAL", "C": "CRITICAL", "WARN": "WARNING", "ERR": "ERROR"}
-    level = F.coalesce(F.get(F.array(*(F.when(level == k, v) for k, v in short.items())), F.lit(0)), level)
-    for k, v in short.items():
-        level = F.when(level == k, v).otherwise(level)
+    level = let(level, lambda x: F.coalesce(F.element_at(F.create_map(*(F.lit(v) for kv in short.items() for v in kv)), F.coalesce(x, F.lit(""))), x))
     bars = F.split(h("half"), r"\|")
     comp = F.when(keyed, _field(F.col("body"), "component|logger|module|name|target"))
     comp = comp.when((h("layout") == "bars") & ~glog, F.get(bars, F.lit(2)))

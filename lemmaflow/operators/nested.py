@@ -14,6 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.columns import let
 from lemmaflow.functions.ids import clean_id, strip_space
 
 FOUND = "owner_table string, owner_key string, child_path string, ordinals string"
@@ -33,20 +34,28 @@ def member(obj: Column, name: str) -> Column:
 
 def parse_strict(text: Column) -> Column:
     """VARIANT of a whole JSON text, null where it isn't valid; the end must match the beginning, as the parser ignores what follows."""
-    whole = strip_space(text)
-    first, last = F.substring(whole, 1, 1), F.substring(whole, -1, 1)
-    closed = ((first == "{") & (last == "}")) | ((first == "[") & (last == "]")) | ((first == '"') & (last == '"') & (F.length(whole) > 1))
-    return F.when(closed, F.try_parse_json(whole))
 
+    def parse(whole: Column) -> Column:
+        ends = F.concat(F.substring(whole, 1, 1), F.substring(whole, -1, 1))
+        return F.when(ends.isin("{}", "[]", '""') & (F.length(whole) > 1), F.try_parse_json(whole))
 
-def _decoded(v: Column) -> Column:
-    """One more parse where the value is text that holds JSON."""
-    return F.coalesce(parse_strict(F.when(F.try_variant_get(v, "$", _OBJECT).isNull() & F.try_variant_get(v, "$", _LIST).isNull(), F.try_variant_get(v, "$", "string"))), v)
+    return let(strip_space(text), parse)
+
+
+def unwrapped(v: Column, wrapper: str) -> Column:
+    """v without one layer: text that holds JSON is parsed, and an object that has the wrapper's key gives its value."""
+
+    def peel(x: Column) -> Column:
+        kind = F.schema_of_variant(x)
+        inner = F.when(kind == "STRING", parse_strict(F.try_variant_get(x, "$", "string"))).when(kind.startswith("OBJECT"), member(x, wrapper))
+        return F.coalesce(inner, x)
+
+    return let(v, peel)
 
 
 def elements(v: Column) -> Column:
     """The array in v; a lone object is an array of one; anything else is null."""
-    return F.coalesce(F.try_variant_get(v, "$", _LIST), F.when(F.try_variant_get(v, "$", _OBJECT).isNotNull(), F.array(v)))
+    return let(v, lambda x: F.coalesce(F.try_variant_get(x, "$", _LIST), F.when(F.try_variant_get(x, "$", _OBJECT).isNotNull(), F.array(x))))
 
 
 def _objects(items: Column) -> Column:
@@ -59,13 +68,14 @@ def _text(v: Column, name: str) -> Column:
     return F.try_variant_get(member(v, name), "$", "string")
 
 
-def diagnostics_records(tree_nodes: DataFrame, wrapper: str = "policydiagnostics", layers: int = 3) -> DataFrame:
+def diagnostics_records(tree_nodes: DataFrame, wrapper: str = "policydiagnostics", layers: int = 4) -> DataFrame:
     """(owner_key, doc): the parsed diagnostics of each distinct record, encodings and wrapper objects taken off."""
     df = tree_nodes.select(clean_id("node_id").alias("owner_key"), F.col("policy_diagnostics").alias("text"))
     df = df.where("owner_key IS NOT NULL AND text IS NOT NULL").select("owner_key", parse_strict(F.col("text")).alias("doc"))
+    doc = F.col("doc")
     for _ in range(layers):
-        df = df.select("owner_key", _decoded(F.col("doc")).alias("doc"))
-        df = df.select("owner_key", F.coalesce(member(F.col("doc"), wrapper), F.col("doc")).alias("doc"))
+        doc = unwrapped(doc, wrapper)
+    df = df.select("owner_key", doc.alias("doc"))
     return df.where(F.try_variant_get("doc", "$", _OBJECT).isNotNull())
 
 
