@@ -3,7 +3,8 @@
 The model is trained on the corpus itself, over all distinct texts: for the context that ends a value, read backwards at
 several lengths, it holds how often a value ends there and how often the text goes on. Three views of the text give
 contexts: the characters themselves (does the word go on?), the characters with names and numbers as one symbol each, and
-the same with words over three letters as one symbol each (does the sentence, list or code go on?). Longer contexts refine shorter
+the same with words over three letters as one symbol each, the last word once as it is and once as a symbol (does the sentence, list or code
+go on?). Longer contexts refine shorter
 ones with a prior of two ends. A value is cut if its log-odds of ending fall under the threshold of its language and
 column, which follows from the mean length there (the chance that a cut falls on a given place).
 
@@ -24,6 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.columns import let
 from lemmaflow.functions.ids import SPACE
 from lemmaflow.session import cut_lineage
 
@@ -31,7 +33,7 @@ from lemmaflow.session import cut_lineage
 MARKS = rf"(?:[{SPACE}]*(?:…|\.\.\.+|[\[(<](?:…|\.\.\.)[\])>]|[\[(<]\s*(?i:truncated|cut|continued|more|snip|read more)[^\])>]{{0,20}}[\])>]|�))+[{SPACE}]*$"
 LANGUAGES = {"eng": "en", "ger": "de", "deu": "de", "fra": "fr", "fre": "fr", "spa": "es", "ita": "it", "por": "pt", "nld": "nl", "dut": "nl"}
 
-VIEWS = {"word": (2, 4, 6, 9), "masked": (3, 6, 10, 16, 24), "shape": (3, 6, 10, 16, 24)}
+VIEWS = {"word": (2, 4, 6, 9), "masked": (3, 6, 10, 16, 24), "shape": (3, 6, 10, 16, 24), "last": (3, 6, 10, 16, 24)}
 CONTEXTS = [(view, n) for view, sizes in VIEWS.items() for n in sizes]
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
@@ -40,7 +42,7 @@ _BLOCK = 400_000
 
 def masked(c: Column) -> Column:
     """Names (joined by underscores or dots) and numbers as one symbol each."""
-    name = r"[A-Za-z0-9.]*[A-Za-z0-9]_[A-Za-z0-9_.]*[A-Za-z0-9_]|[A-Z][a-z]+\.[A-Za-z0-9_]+"
+    name = r"[A-Za-z0-9.]*[A-Za-z0-9]_(?:[A-Za-z0-9_.]*[A-Za-z0-9_])?|[A-Z][a-z]+\.[A-Za-z0-9_]+"
     return F.regexp_replace(F.regexp_replace(c, name, "\x01"), r"\p{Nd}+", "0")
 
 
@@ -58,12 +60,15 @@ def language(c: Column | str) -> Column:
 
 
 def distinct_texts(documents: DataFrame, column: str) -> DataFrame:
-    """a, b (two hashes of the text), lang, chars and the three views of each distinct text."""
+    """a, b (two hashes of the text), lang, chars and the views of each distinct text."""
     bare = F.regexp_replace(F.regexp_replace(F.col("t"), MARKS, ""), f"[{SPACE}]+$", "")
     rows = documents.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(3), column).alias("b"), language("lang").alias("lang"), F.length(column).alias("chars"), F.col(column).alias("t"))
     rows = rows.groupBy("a", "b").agg(F.min("lang").alias("lang"), F.first("chars").alias("chars"), F.first("t").alias("t"))
     rows = rows.select("a", "b", "lang", "chars", bare.alias("word")).where("word <> ''").withColumn("masked", masked(F.col("word")))
-    return rows.withColumn("shape", shape(F.col("masked")))
+    rows = rows.withColumn("shape", shape(F.col("masked")))
+    # the last word of a value may be part of a longer one, so that it is a symbol whatever its length
+    last = F.regexp_replace(F.regexp_replace("shape", r"(?<!\p{L})\p{Lu}\p{L}*$", "W"), r"(?<!\p{L})\p{Ll}\p{L}*$", "w")
+    return rows.withColumn("last", last)
 
 
 class Windows:
@@ -131,7 +136,7 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
             room = at - w.start
             goes_on = table[np.minimum(w.code, 0xFFFF)] if view == "word" else None
             for k, (v, size) in enumerate(CONTEXTS):
-                if v != view:
+                if v != view and not (view == "shape" and v == "last"):
                     continue
                 ok = room >= size
                 if goes_on is not None:
@@ -140,7 +145,7 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
                 fresh.append(h[((bits[(h >> np.uint64(44)).astype(np.int64)] >> ((h >> np.uint64(38)) & np.uint64(63))) & np.uint64(1)) == 1])
 
         for pdf in parts:
-            for view in VIEWS:
+            for view in ("word", "masked", "shape"):
                 held, size = [], 0
                 for t in pdf[view]:
                     held.append(t)
@@ -162,13 +167,18 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
 
 
 def _refined(stats: list[tuple[Column, Column]], first: float) -> Column:
-    """P(end) from the shortest to the longest context; the value's own end is left out, and a longer context with the same counts tells nothing new."""
+    """P(end) from the shortest to the longest context; the value's own end is left out, and a longer context with the same counts tells
+    nothing new. The prior weighs two ends, but no more than 30 places where a longer context has ends of its own."""
+
+    def step(e: Column, c: Column):  # noqa: ANN202
+        return lambda p: F.when(e > 0, (e + F.least(F.lit(2.0), 30 * p)) / (e + c + F.least(2 / p, F.lit(30.0)))).otherwise(2 / (c + 2 / p))
+
     p: Column = F.lit(first)
     before = (F.lit(-1), F.lit(-1))
     for ends, on in stats:
         e, c = F.greatest(F.coalesce(ends, F.lit(0)) - 1, F.lit(0)), F.coalesce(on, F.lit(0))
         new = ((e != before[0]) | (c != before[1])).cast("int")
-        p = (e * new + 2) / (e * new + c * new + 2 / p)
+        p = let(p, step(e * new, c * new))
         before = (e, c)
     return p
 
@@ -176,7 +186,7 @@ def _refined(stats: list[tuple[Column, Column]], first: float) -> Column:
 def scores(documents: DataFrame, column: str = "text") -> DataFrame:
     """a, b (the text's hashes), lang, p_word and p_end: the chances that a word, and the text, ends with the value's last context."""
     texts = cut_lineage(distinct_texts(documents, column))
-    own = cut_lineage(texts.select("a", "b", "word", "masked", "shape").mapInPandas(_end_contexts, "a long, b long, k int, h long"))
+    own = cut_lineage(texts.select("a", "b", "word", "masked", "shape", "last").mapInPandas(_end_contexts, "a long, b long, k int, h long"))
     ends = own.groupBy("h").agg(F.count(F.lit(1)).alias("ends"))
     # a bitmap of 2 ** 26 places: at most 2 ** 20 rows come to the driver, however large the corpus is
     cells = ends.groupBy(F.shiftrightunsigned("h", 44).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 38) & 63 as int))")).alias("bits")).toPandas()
@@ -193,7 +203,7 @@ def scores(documents: DataFrame, column: str = "text") -> DataFrame:
     pick = [F.max(F.when(F.col("k") == k, F.struct("ends", "goes_on"))).alias(f"s{k}") for k in range(len(CONTEXTS))]
     wide = common.unionByName(rest).groupBy("a", "b").agg(*pick)
     of = lambda view: [(F.col(f"s{k}.ends"), F.col(f"s{k}.goes_on")) for k, (v, _) in enumerate(CONTEXTS) if v == view]
-    p = wide.select("a", "b", _refined(of("word"), 0.3).alias("p_word"), _refined(of("masked"), 0.01).alias("p_masked"), _refined(of("shape"), 0.01).alias("p_shape"))
+    p = wide.select("a", "b", _refined(of("word"), 0.3).alias("p_word"), _refined(of("masked"), 0.01).alias("p_masked"), F.least(_refined(of("shape"), 0.01), _refined(of("last"), 0.01)).alias("p_shape"))
     p = p.select("a", "b", "p_word", F.greatest("p_masked", "p_shape").alias("p_end"))
     last = texts.select("a", "b", "lang", "chars", F.col("word").rlike(r"[\p{L}\p{Nd}_]$").alias("in_word"))
     return last.join(p, ["a", "b"], "left").select("a", "b", "lang", "chars", F.when(F.col("in_word"), F.coalesce("p_word", F.lit(0.3))).otherwise(F.lit(1.0)).alias("p_word"), F.coalesce("p_end", F.lit(0.01)).alias("p_end"))
