@@ -37,12 +37,12 @@ VIEWS = {"word": (2, 4, 6, 9), "masked": (3, 6, 10, 16, 24), "shape": (3, 6, 10,
 CONTEXTS = [(view, n) for view, sizes in VIEWS.items() for n in sizes]
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
-_BLOCK = 400_000
+_BLOCK = 200_000
 
 
 def masked(c: Column) -> Column:
     """Names (joined by underscores or dots) and numbers as one symbol each."""
-    name = r"[A-Za-z0-9.]*[A-Za-z0-9]_(?:[A-Za-z0-9_.]*[A-Za-z0-9_])?|[A-Z][a-z]+\.[A-Za-z0-9_]+"
+    name = r"(?<![A-Za-z0-9_.])(?:[A-Za-z0-9.]++_(?:[A-Za-z0-9_]|\.(?=[A-Za-z0-9_]))*+|[A-Z][a-z]++\.[A-Za-z0-9_]++)"
     return F.regexp_replace(F.regexp_replace(c, name, "\x01"), r"\p{Nd}+", "0")
 
 
@@ -61,7 +61,8 @@ def language(c: Column | str) -> Column:
 
 def distinct_texts(documents: DataFrame, column: str) -> DataFrame:
     """a, b (two hashes of the text), lang, chars and the views of each distinct text."""
-    bare = F.regexp_replace(F.regexp_replace(F.col("t"), MARKS, ""), f"[{SPACE}]+$", "")
+    # a mark is looked for in the last 100 characters, which hold any of them
+    bare = let(F.col("t"), lambda x: F.concat(F.substring(x, F.lit(1), F.greatest(F.length(x) - 100, F.lit(0))), F.regexp_replace(F.regexp_replace(F.substring(x, -100, 100), MARKS, ""), f"[{SPACE}]+$", "")))
     rows = documents.where(F.col(column).isNotNull()).select(F.xxhash64(column).alias("a"), F.xxhash64(F.lit(3), column).alias("b"), language("lang").alias("lang"), F.length(column).alias("chars"), F.col(column).alias("t"))
     rows = rows.groupBy("a", "b").agg(F.min("lang").alias("lang"), F.first("chars").alias("chars"), F.first("t").alias("t"))
     rows = rows.select("a", "b", "lang", "chars", bare.alias("word")).where("word <> ''").withColumn("masked", masked(F.col("word")))
@@ -117,12 +118,11 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = _word_table()
         keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        fresh: list[np.ndarray] = []
+        fresh: list[tuple[np.ndarray, np.ndarray]] = []
 
         def merge() -> None:
             nonlocal keys, counts, fresh
-            k, n = np.unique(np.concatenate(fresh), return_counts=True) if fresh else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            both, weight = np.concatenate([keys, k]), np.concatenate([counts, n])
+            both, weight = np.concatenate([keys, *(k for k, _ in fresh)]), np.concatenate([counts, *(n for _, n in fresh)])
             order = np.argsort(both, kind="stable")
             both, weight = both[order], weight[order]
             first = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]])) if len(both) else np.zeros(0, np.int64)
@@ -142,7 +142,9 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
                 if goes_on is not None:
                     ok &= goes_on
                 h = w.hashes(at[ok], size, k + 1)
-                fresh.append(h[((bits[(h >> np.uint64(44)).astype(np.int64)] >> ((h >> np.uint64(38)) & np.uint64(63))) & np.uint64(1)) == 1])
+                fresh.append(np.unique(h[((bits[(h >> np.uint64(44)).astype(np.int64)] >> ((h >> np.uint64(38)) & np.uint64(63))) & np.uint64(1)) == 1], return_counts=True))
+            if sum(len(k) for k, _ in fresh) > 500_000:
+                merge()
 
         for pdf in parts:
             for view in ("word", "masked", "shape"):
@@ -155,9 +157,7 @@ def _counter(bits: np.ndarray):  # noqa: ANN202
                         held, size = [], 0
                 if held:
                     block(held, view)
-            if sum(map(len, fresh)) > 4_000_000:
-                merge()
-            if len(keys) > 4_000_000:  # what a task holds stays bounded; the rest is summed after the shuffle
+            if len(keys) > 1_500_000:  # what a task holds stays bounded; the rest is summed after the shuffle
                 yield pd.DataFrame({"h": keys.view(np.int64), "n": counts})
                 keys, counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
         merge()
