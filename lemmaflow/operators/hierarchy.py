@@ -93,8 +93,14 @@ class Graph:
             level = list(reached)
         return hops, root, back
 
+    def strong(self) -> list[int]:
+        """The smallest node of each node's strongly connected component."""
+        self.depth_first()
+        return self.scc
+
     def depth_first(self) -> tuple[list[bool], list[tuple[int, int]]]:
         """Which nodes lie on a cycle, and the back edges, from one walk with colours; lowest reachable open positions tell cycles apart."""
+        self.scc = list(range(len(self.ids)))
         n = len(self.ids)
         order, low = [0] * n, [0] * n  # 0: not yet seen
         is_open, cyclic, back = [False] * n, [False] * n, []
@@ -139,8 +145,9 @@ class Graph:
                             if j == i:
                                 break
                         if len(members) > 1:
+                            least = min(members)
                             for j in members:
-                                cyclic[j] = True
+                                cyclic[j], self.scc[j] = True, least
         return cyclic, back
 
     def descendants(self, i: int) -> set[int]:
