@@ -1 +1,215 @@
-ORACLE: dict[str, str] = {}
+"""The queries in SQL, for those that SQL can express on whole tables; the others are tested against brute force."""
+
+from __future__ import annotations
+
+_W = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{2060}\x{3000}\x{feff}]"
+
+
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^{_W}+|{_W}+$', '', 'g')"
+
+
+def cid(x: str) -> str:
+    """Trimmed, null if blank."""
+    return f"nullif({strip(x)}, '')"
+
+
+def cids(x: str) -> str:
+    return f"list_filter(list_transform(coalesce({x}, []::varchar[]), lambda e: {cid('e')}), lambda e: e IS NOT NULL)"
+
+
+def idset(x: str) -> str:
+    return f"list_sort(list_distinct({cids(x)}))"
+
+
+def toks(x: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower(coalesce({x}, '')), '[^a-z0-9_]+'), lambda e: e <> '')"
+
+
+def stem(t: str) -> str:
+    cut = lambda k: f"left({t}, length({t}) - {k})"
+    return f"""CASE WHEN {t} LIKE '%ies' AND length({t}) > 5 THEN {cut(3)} || 'y' WHEN {t} LIKE '%ing' AND length({t}) > 6 THEN {cut(3)} WHEN {t} LIKE '%ed' AND length({t}) > 5 THEN {cut(2)}
+        WHEN {t} LIKE '%es' AND length({t}) > 5 AND regexp_matches({t}, '(?:s|x|z|ch|sh)es$') THEN {cut(2)} WHEN {t} LIKE '%es' AND length({t}) > 5 THEN {cut(1)} WHEN {t} LIKE '%s' AND length({t}) > 4 THEN {cut(1)} ELSE {t} END"""
+
+
+_QUALITY = "'about','after','again','because','before','being','between','could','every','first','from','have','into','their','there','these','those','through','under','using','where','which','while','with','without','this','that','therefore','thus'"
+_GROUPING = "'a','an','and','are','as','be','by','for','from','in','is','of','on','or','that','the','to','with'"
+
+
+def mstems(x: str) -> str:
+    return f"list_distinct(list_filter(list_transform({toks(x)}, lambda e: {stem('e')}), lambda e: length(e) >= 3 AND e NOT IN ({_QUALITY})))"
+
+
+def half_up(x: str) -> str:
+    return f"floor(({x}) * 10000 + 0.5) / 10000"
+
+
+def leaf_cte(name: str = "leaf", where: str = "true") -> str:
+    kind = f"lower({cid('theorem_kind')})"
+    return f"""{name} AS (SELECT * EXCLUDE (rn) FROM (SELECT {cid("declaration_id")} AS leaf_id, coalesce({cid("module_path")}, '') AS module_path, coalesce({cid("declaration_name")}, '') AS declaration_name,
+      CASE WHEN {kind} IN ('theorem','lemma','definition','axiom','inductive','structure','instance','example','unknown') THEN {kind} ELSE 'unknown' END AS theorem_kind, coalesce({cid("statement_text")}, '') AS statement_text,
+      coalesce({cid("pretty_statement")}, {cid("statement_text")}, '') AS pretty_statement, source_span, {idset("tags")} AS tags, {idset("dependency_ids")} AS dependency_ids,
+      row_number() OVER (PARTITION BY {cid("declaration_id")} ORDER BY indexed_at DESC NULLS LAST, coalesce(source_text_hash, '') DESC) AS rn FROM lean_declarations WHERE {where}) WHERE rn = 1)"""
+
+
+LEAF = leaf_cte()
+EDGE = "edge AS (SELECT DISTINCT leaf_id AS src, unnest(dependency_ids) AS dst FROM leaf)"
+NODE = "node AS (SELECT leaf_id AS id, 'indexed' AS category FROM leaf UNION ALL SELECT DISTINCT dst, 'external' FROM edge WHERE dst NOT IN (SELECT leaf_id FROM leaf))"
+LINK = f"link AS (SELECT DISTINCT {cid('parent_id')} AS src, {cid('child_id')} AS dst FROM tree_edges WHERE {cid('parent_id')} IS NOT NULL AND {cid('child_id')} IS NOT NULL)"
+TREE = f"""tree AS (SELECT * EXCLUDE (rn) FROM (SELECT {cid("proof_id")} AS proof_id, {cid("node_id")} AS node_id, node_kind, coalesce(statement_text, '') AS statement_text, {cids("child_ids")} AS child_ids, complexity_score AS complexity,
+  {cids("evidence_refs")} AS refs, {cids("new_terms_introduced")} AS terms, row_number() OVER (PARTITION BY {cid("proof_id")}, {cid("node_id")} ORDER BY ingested_at DESC NULLS LAST) AS rn FROM tree_nodes) WHERE rn = 1 AND proof_id IS NOT NULL AND node_id IS NOT NULL)"""
+TEDGE = "tedge AS (SELECT proof_id, parent_id, child_id, min(o) - 1 AS child_order FROM (SELECT proof_id, node_id AS parent_id, unnest(child_ids) AS child_id, generate_subscripts(child_ids, 1) AS o FROM tree) GROUP BY ALL)"
+# what each node of the tree table reaches over child_ids of any delivery
+ALLK = f"allk AS (SELECT DISTINCT {cid('proof_id')} AS proof_id, {cid('node_id')} AS src, unnest({cids('child_ids')}) AS dst FROM tree_nodes)"
+PAIR = "pair AS (SELECT proof_id, src AS node_id, dst AS descendant_id FROM allk UNION SELECT p.proof_id, p.node_id, k.dst FROM pair p JOIN allk k ON k.proof_id = p.proof_id AND k.src = p.descendant_id)"
+JOB = f"""job AS (SELECT * EXCLUDE (rn) FROM (SELECT {cid("job_id")} AS job_id, {cid("job_target.leaf_id")} AS leaf_id, job_status, queue_sequence, row_number() OVER (PARTITION BY {cid("job_id")} ORDER BY updated_at DESC NULLS LAST) AS rn FROM verification_jobs) WHERE rn = 1)"""
+SAMPLES = f"""word AS (SELECT proof_id, node_id, {mstems("statement_text")} AS w FROM tree),
+  below AS (SELECT DISTINCT p.proof_id, p.node_id, unnest(w.w) AS stem FROM pair p JOIN word w ON w.proof_id = p.proof_id AND w.node_id = p.descendant_id WHERE p.node_id <> p.descendant_id),
+  fresh AS (SELECT DISTINCT proof_id, node_id, unnest({mstems("t")}) AS stem FROM (SELECT proof_id, node_id, unnest(terms) AS t FROM tree WHERE node_kind = 'parent')),
+  known AS (SELECT * FROM below UNION SELECT * FROM fresh),
+  own AS (SELECT proof_id, node_id, unnest(w) AS stem FROM word WHERE (proof_id, node_id) IN (SELECT (proof_id, node_id) FROM tree WHERE node_kind = 'parent')),
+  sup AS (SELECT o.proof_id, o.node_id, count(*) AS n, count(k.stem) AS k FROM own o LEFT JOIN known k ON k.proof_id = o.proof_id AND k.node_id = o.node_id AND k.stem = o.stem GROUP BY ALL),
+  kid AS (SELECT proof_id, node_id, refs, unnest(list_distinct(child_ids)) AS child FROM tree WHERE node_kind = 'parent'),
+  grp AS (SELECT k.proof_id, k.node_id, count(*) AS c, count(*) FILTER (list_contains(k.refs, k.child)) AS v, max(t.complexity) - min(t.complexity) AS s FROM kid k LEFT JOIN tree t ON t.proof_id = k.proof_id AND t.node_id = k.child GROUP BY ALL),
+  sample AS (SELECT t.proof_id, t.node_id, coalesce(g.c, 0) AS child_count, round(coalesce(g.s, 0.0), 6) AS spread, {half_up("CASE WHEN coalesce(g.c, 0) = 0 THEN 1.0 ELSE g.v / g.c END")} AS evidence_coverage,
+    {half_up("CASE WHEN coalesce(s.n, 0) = 0 THEN 1.0 ELSE s.k / s.n END")} AS supported_ratio, {half_up("CASE WHEN coalesce(s.n, 0) = 0 THEN 0.0 ELSE len(t.terms) / s.n END")} AS introduced_rate
+    FROM tree t LEFT JOIN sup s ON s.proof_id = t.proof_id AND s.node_id = t.node_id LEFT JOIN grp g ON g.proof_id = t.proof_id AND g.node_id = t.node_id WHERE t.node_kind = 'parent')"""
+METRICS = """count(*) AS parent_count, round(coalesce(avg(child_count), 0), 6) AS mean_children, coalesce(max(spread), 0.0) AS max_spread, round(coalesce(avg(spread), 0), 6) AS mean_spread, round(coalesce(avg(evidence_coverage), 1), 6) AS mean_evidence,
+  round(coalesce(avg(supported_ratio), 1), 6) AS mean_support, round(coalesce(avg((supported_ratio < 0.5)::int), 0), 6) AS unsupported_rate, round(coalesce(avg((introduced_rate > 1)::int), 0), 6) AS overflow_rate"""
+
+_SIGNALS = {
+    "concept:arithmetic": "add|sub|mul|div|nat|int|arith|plus|minus|succ",
+    "concept:compiler_correctness": "compiler|compile|correct|correctness|equiv|equivalence|refine|simulation|preserves?",
+    "concept:conditional": "if|then|else|branch|condition|cond",
+    "concept:loop": "loop|while|for|iterate|invariant",
+    "concept:memory": "memory|heap|store|load|pointer|register|buffer",
+    "concept:state": "state|st|transition|invariant|preserve",
+}
+_SAID = "module_path || chr(10) || declaration_name || chr(10) || statement_text || chr(10) || pretty_statement"
+_HITS = ", ".join(f"CASE WHEN regexp_matches({_SAID}, '(?i)(^|[^A-Za-z0-9_])({w})($|[^A-Za-z0-9_])') THEN '{t}' END" for t, w in _SIGNALS.items())
+TAGGED = rf"""hit AS (SELECT leaf_id, theorem_kind, regexp_matches(module_path, '(^|\.)Kernel(\.|$)') OR regexp_matches(declaration_name, '(?i)(^|[^A-Za-z0-9_])kernel($|[^A-Za-z0-9_])') AS own, list_filter([{_HITS}], lambda e: e IS NOT NULL) AS sig FROM leaf),
+  conf AS (SELECT *, {half_up("least(0.95, 0.1 + CASE WHEN own THEN 0.45 ELSE 0.0 END + len(sig) * 0.1)")} AS c FROM hit),
+  tagged AS (SELECT leaf_id, CASE WHEN c >= 0.55 THEN 'kernel' ELSE 'generic' END AS adapter_id, CASE WHEN c >= 0.55 THEN c ELSE 0.55 END AS confidence,
+    CASE WHEN c >= 0.55 THEN list_sort(list_concat(sig, CASE WHEN own THEN ['domain:kernel'] ELSE [] END)) ELSE list_sort(['domain:lean/general', 'kind:' || theorem_kind]) END AS tags FROM conf)"""
+TAGM = f"""said AS (SELECT leaf_id, list_distinct(flatten(list(t))) AS expected FROM (SELECT {cid("declaration_id")} AS leaf_id, {idset("domain_classification.tags")} AS t FROM lean_declarations) WHERE len(t) > 0 GROUP BY leaf_id),
+  e AS (SELECT leaf_id, unnest(expected) AS tag FROM said), p AS (SELECT leaf_id, unnest(tags) AS tag FROM tagged WHERE leaf_id IN (SELECT leaf_id FROM said)),
+  n AS (SELECT coalesce(e.tag, p.tag) AS tag, count(*) FILTER (e.tag IS NOT NULL AND p.tag IS NOT NULL) AS tp, count(*) FILTER (e.tag IS NULL) AS fp, count(*) FILTER (p.tag IS NULL) AS fn FROM e FULL JOIN p ON e.leaf_id = p.leaf_id AND e.tag = p.tag GROUP BY 1),
+  pr AS (SELECT *, {half_up("CASE WHEN tp + fp = 0 THEN 0.0 ELSE tp / (tp + fp) END")} AS precision, {half_up("CASE WHEN tp + fn = 0 THEN 0.0 ELSE tp / (tp + fn) END")} AS recall FROM n),
+  m AS (SELECT *, {half_up("CASE WHEN precision + recall = 0 THEN 0.0 ELSE 2 * precision * recall / (precision + recall) END")} AS f1 FROM pr)"""
+NAME = r"(?:«[^»]+»|[A-Za-z_][A-Za-z0-9_'']*(?:\.[A-Za-z_][A-Za-z0-9_'']*)*)"
+# hops from the roots of each proof over the links lk, and the nodes nd
+LEVELS = """lv AS (SELECT proof_id, node_id, node_id AS root_id, 0 AS hops FROM nd WHERE (proof_id, node_id) NOT IN (SELECT (proof_id, dst) FROM lk)
+  UNION SELECT l.proof_id, k.dst, l.root_id, l.hops + 1 FROM lv l JOIN lk k ON k.proof_id = l.proof_id AND k.src = l.node_id WHERE l.hops < 300),
+  best AS (SELECT proof_id, node_id, min((hops, root_id)) AS b FROM lv GROUP BY ALL)"""
+BOTH = f"""lk AS (SELECT DISTINCT * FROM (SELECT {cid("proof_id")} AS proof_id, {cid("parent_id")} AS src, {cid("child_id")} AS dst FROM tree_edges UNION ALL SELECT {cid("proof_id")}, {cid("node_id")}, unnest({cids("child_ids")}) FROM tree_nodes) WHERE src IS NOT NULL AND dst IS NOT NULL AND proof_id IS NOT NULL),
+  nd AS (SELECT DISTINCT {cid("proof_id")} AS proof_id, {cid("node_id")} AS node_id FROM tree_nodes WHERE {cid("node_id")} IS NOT NULL UNION SELECT proof_id, src FROM lk UNION SELECT proof_id, dst FROM lk)"""
+OWN = f"""lk AS (SELECT * FROM allk WHERE src IS NOT NULL), nd AS (SELECT DISTINCT {cid("proof_id")} AS proof_id, {cid("node_id")} AS node_id FROM tree_nodes WHERE {cid("node_id")} IS NOT NULL UNION SELECT proof_id, dst FROM lk)"""
+# a line's head: the layouts' times, levels and positions
+_LV = "trace|debug|verbose|info|information|notice|warn|warning|error|err|fatal|critical|crit|severe|alert|emerg|panic"
+_STARTS = "|".join([
+    r"\[?[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}[T ][0-9]{1,2}:[0-9]{2}", r"\[?[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{4},? [0-9]{1,2}:[0-9]{2}:[0-9]{2}", r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec) +[0-9]{1,2} [0-9]{2}:[0-9]{2}:[0-9]{2}",
+    r"\[?[0-9]{1,2}:[0-9]{2}:[0-9]{2}", r"1[0-9]{9,12}[|]", r"[TDIWEFC][0-9]{4} [0-9]{2}:[0-9]{2}:[0-9]{2}", r"(ts|time|level)=", r"[{]", r"[[<(](" + _LV + "|" + _LV.upper() + r")[\])>]", "(" + _LV + "|" + _LV.upper() + "):? ", r"[A-Za-z0-9_./-]+[.][a-z]+:[0-9]+(:[0-9]+)?: ",
+])
+_TIME = "TIMESTAMP '2025-07-01 00:00:00'"
+_FP = "concat_ws(chr(31), module_path, declaration_name, theorem_kind, statement_text, pretty_statement, array_to_string(tags, ','), array_to_string(dependency_ids, ','))"
+
+ORACLE: dict[str, str] = {
+    "p2_found": f"""WITH RECURSIVE {BOTH}, {LEVELS}, rc AS (SELECT proof_id, src, dst FROM lk UNION SELECT r.proof_id, r.src, k.dst FROM rc r JOIN lk k ON k.proof_id = r.proof_id AND k.src = r.dst)
+      SELECT n.proof_id, n.node_id, coalesce(b.b[2], '') AS root_id, coalesce(b.b[1], -1)::int AS hops, ((n.proof_id, n.node_id) IN (SELECT (proof_id, src) FROM rc WHERE src = dst))::int AS in_cycle FROM nd n LEFT JOIN best b ON b.proof_id = n.proof_id AND b.node_id = n.node_id""",
+    "p2_descendants": f"""WITH RECURSIVE {BOTH}, rc AS (SELECT proof_id, src, dst FROM lk UNION SELECT r.proof_id, r.src, k.dst FROM rc r JOIN lk k ON k.proof_id = r.proof_id AND k.src = r.dst) SELECT proof_id, src AS node_id, dst AS descendant_id FROM rc""",
+    "p4_found": f"""WITH l AS (SELECT DISTINCT job_id, lower({strip("l.stream_name")}) AS s, l.line_index AS i, l.message AS m FROM (SELECT {cid("job_id")} AS job_id, unnest(logs) AS l FROM verification_jobs) WHERE l IS NOT NULL AND job_id IS NOT NULL),
+      b AS (SELECT *, s = 'system' OR regexp_matches(regexp_replace(coalesce(m, ''), '\x1b\[[0-9;?]*[a-zA-Z]', '', 'g'), '^({_STARTS})') AS starts FROM l WHERE s IS NOT NULL AND i IS NOT NULL),
+      g AS (SELECT *, last_value(CASE WHEN starts THEN i END IGNORE NULLS) OVER (PARTITION BY job_id, s ORDER BY i, m ROWS UNBOUNDED PRECEDING) AS e FROM b) SELECT job_id, e AS first_index, max(i) AS last_index FROM g WHERE e IS NOT NULL GROUP BY job_id, s, e""",
+    "p3_found": f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proof_id, snapshot_id ORDER BY delivery_no DESC) AS rn FROM tree_snapshots) WHERE rn = 1),
+      nb AS (SELECT proof_id, lag(snapshot_id) OVER w AS a, snapshot_id AS b FROM h WINDOW w AS (PARTITION BY proof_id ORDER BY taken_at, snapshot_id)),
+      n AS (SELECT DISTINCT s.proof_id, s.snapshot_id, {cid("s.node_id")} AS id, s.node_kind AS k, trim(regexp_replace(s.statement_text, '{_W}+', ' ', 'g')) AS t, s.node_depth AS d, {cids("s.child_ids")} AS c, {idset("s.evidence_refs")} AS e, round(s.complexity_score, 6) AS x
+        FROM snapshot_nodes s JOIN h USING (proof_id, snapshot_id, delivery_no)),
+      l AS (SELECT DISTINCT proof_id, snapshot_id, unnest({idset("leaf_ids")}) AS id FROM h),
+      o AS (SELECT nb.proof_id, nb.a, nb.b, n.* EXCLUDE (proof_id, snapshot_id) FROM nb JOIN n ON n.proof_id = nb.proof_id AND n.snapshot_id = nb.a), w AS (SELECT nb.proof_id, nb.a, nb.b, n.* EXCLUDE (proof_id, snapshot_id) FROM nb JOIN n ON n.proof_id = nb.proof_id AND n.snapshot_id = nb.b WHERE nb.a IS NOT NULL),
+      lo AS (SELECT nb.proof_id, nb.a, nb.b, l.id FROM nb JOIN l ON l.proof_id = nb.proof_id AND l.snapshot_id = nb.a), lw AS (SELECT nb.proof_id, nb.a, nb.b, l.id FROM nb JOIN l ON l.proof_id = nb.proof_id AND l.snapshot_id = nb.b WHERE nb.a IS NOT NULL)
+      SELECT coalesce(o.proof_id, w.proof_id) AS proof_id, coalesce(o.a, w.a) AS from_snapshot_id, coalesce(o.b, w.b) AS to_snapshot_id, 'node' AS record_kind, coalesce(o.id, w.id) AS record_id, CASE WHEN o.id IS NULL THEN 'added' WHEN w.id IS NULL THEN 'removed' ELSE 'changed' END AS change_type
+      FROM o FULL JOIN w ON o.proof_id = w.proof_id AND o.a = w.a AND o.b = w.b AND o.id = w.id WHERE o.id IS NULL OR w.id IS NULL OR (o.k, o.t, o.d, o.c, o.e, o.x) IS DISTINCT FROM (w.k, w.t, w.d, w.c, w.e, w.x)
+      UNION ALL SELECT coalesce(o.proof_id, w.proof_id), coalesce(o.a, w.a), coalesce(o.b, w.b), 'leaf', coalesce(o.id, w.id), CASE WHEN o.id IS NULL THEN 'added' ELSE 'removed' END FROM lo o FULL JOIN lw w ON o.proof_id = w.proof_id AND o.a = w.a AND o.b = w.b AND o.id = w.id WHERE o.id IS NULL OR w.id IS NULL""",
+    "p5_found": f"""WITH d AS (SELECT {cid("declaration_id")} AS id, indexed_at, deleted_at FROM lean_declarations),
+      r AS (SELECT DISTINCT * FROM (SELECT 'lean_declarations' AS ref_table, coalesce({strip("declaration_id")}, '') AS src_key, unnest({cids("dependency_ids")}) AS ref_key, indexed_at AS t FROM lean_declarations
+        UNION ALL SELECT 'missing_dependency_refs', coalesce({strip("declaration_id")}, ''), {cid("dependency_id")}, reported_at FROM missing_dependency_refs UNION ALL SELECT 'tree_provenance', coalesce({strip("node_id")}, ''), {cid("leaf_id")}, recorded_at FROM tree_provenance) WHERE ref_key IS NOT NULL),
+      f AS (SELECT id, min(indexed_at) AS first FROM d GROUP BY id)
+      SELECT DISTINCT ref_table, src_key, ref_key, coalesce(strftime(t, '%Y-%m'), '') AS period, CASE WHEN f.id IS NULL THEN 'missing' WHEN f.first > t OR f.first IS NULL OR t IS NULL THEN 'late' ELSE 'deleted' END AS reason FROM r LEFT JOIN f ON f.id = r.ref_key
+      WHERE ref_key NOT IN (SELECT {cid("symbol_id")} FROM shared_symbols) AND NOT EXISTS (SELECT 1 FROM d WHERE d.id = r.ref_key AND d.indexed_at <= r.t AND (d.deleted_at IS NULL OR r.t < d.deleted_at))""",
+    "text_tokens": f"SELECT doc_id, len(t) AS n_tokens, len(list_distinct(t)) AS n_distinct FROM (SELECT doc_id, {toks('text')} AS t FROM documents)",
+    "text_stems": f"SELECT {stem('t')} AS stem, count(*) AS n FROM (SELECT unnest({toks('text')}) AS t FROM documents) GROUP BY 1",
+    "text_keys": f"SELECT regexp_replace(lower({strip('source')}), '[^a-z0-9_-]', '_', 'g') AS source_key, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY 1",
+    "jaccard_pairs": f"""WITH {LEAF}, g AS (SELECT DISTINCT module_path AS tree_id, leaf_id, list_distinct(list_filter({toks("statement_text")}, lambda e: length(e) >= 3 AND e NOT IN ({_GROUPING}))) AS w FROM leaf),
+      p AS (SELECT a.tree_id, a.leaf_id AS a, b.leaf_id AS b, round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 6) AS jaccard FROM g a JOIN g b ON a.tree_id = b.tree_id AND a.leaf_id < b.leaf_id) SELECT * FROM p WHERE jaccard >= 0.5""",
+    "leaf_map": f"WITH {LEAF} SELECT leaf_id, module_path, declaration_name, theorem_kind, statement_text, pretty_statement, array_to_string(tags, ',') AS tags, array_to_string(dependency_ids, ',') AS dependency_ids FROM leaf",
+    "leaf_problems": f"""WITH {LEAF} SELECT leaf_id, 'module_path' AS path, 'must not be blank' AS message FROM leaf WHERE module_path = '' UNION ALL SELECT leaf_id, 'declaration_name', 'must not be blank' FROM leaf WHERE declaration_name = ''
+      UNION ALL SELECT leaf_id, 'statement_text', 'must not be blank' FROM leaf WHERE statement_text = '' UNION ALL SELECT leaf_id, 'source_span', 'is missing' FROM leaf WHERE source_span IS NULL UNION ALL SELECT leaf_id, 'source_span.start_line', 'must be positive' FROM leaf WHERE source_span.start_line < 1
+      UNION ALL SELECT leaf_id, 'source_span.end_line', 'must not lie before start_line' FROM leaf WHERE source_span.end_line < source_span.start_line UNION ALL SELECT leaf_id, 'source_span.end_column', 'must not lie before start_column' FROM leaf WHERE source_span.end_line = source_span.start_line AND source_span.end_column < source_span.start_column""",
+    "classify_rules": f"WITH {LEAF}, {TAGGED} SELECT leaf_id, adapter_id, confidence, array_to_string(tags, ',') AS tags FROM tagged",
+    "tag_eval": f"WITH {LEAF}, {TAGGED}, {TAGM} SELECT * FROM m",
+    "tag_eval_macro": f"WITH {LEAF}, {TAGGED}, {TAGM} SELECT {half_up('coalesce(avg(precision), 0)')} AS macro_precision, {half_up('coalesce(avg(recall), 0)')} AS macro_recall, {half_up('coalesce(avg(f1), 0)')} AS macro_f1 FROM m",
+    "dedupe_first": "SELECT sha256(text) AS text_hash, min(doc_id) AS doc_id, count(*) AS copies FROM documents WHERE text IS NOT NULL GROUP BY 1",
+    "symbol_links": rf"""WITH {LEAF}, w AS (SELECT DISTINCT leaf_id AS src, unnest(regexp_extract_all(declaration_name || ' ' || statement_text, '{NAME}')) AS word FROM leaf), s AS (SELECT leaf_id AS dst, declaration_name AS word FROM leaf UNION SELECT leaf_id, string_split(declaration_name, '.')[-1] FROM leaf)
+      SELECT DISTINCT src, dst FROM w JOIN s USING (word) WHERE src <> dst""",
+    "graph_edges": f"WITH {LEAF}, {EDGE} SELECT * FROM edge",
+    "graph_nodes": f"WITH {LEAF}, {EDGE}, {NODE} SELECT * FROM node",
+    "graph_missing": f"WITH {LEAF}, {EDGE} SELECT src, dst FROM edge WHERE dst NOT IN (SELECT leaf_id FROM leaf)",
+    "graph_degree": f"WITH {LEAF}, {EDGE}, {NODE} SELECT id, category, (SELECT count(*) FROM edge WHERE src = id) AS dependencies, (SELECT count(*) FROM edge WHERE dst = id) AS dependents FROM node",
+    "graph_totals": f"""WITH {LEAF}, {EDGE}, {NODE} SELECT (SELECT count(*) FROM node) AS node_count, (SELECT count(*) FROM node WHERE category = 'indexed') AS indexed_count, (SELECT count(*) FROM node WHERE category = 'external') AS external_count,
+      (SELECT count(*) FROM edge) AS edge_count, (SELECT count(*) FROM edge WHERE dst NOT IN (SELECT leaf_id FROM leaf)) AS missing_count""",
+    "graph_closure": f"WITH RECURSIVE {LEAF}, {EDGE}, c AS (SELECT src, dst FROM edge UNION SELECT c.src, e.dst FROM c JOIN edge e ON e.src = c.dst) SELECT src, dst FROM c WHERE src <> dst",
+    "graph_closure_no_external": f"WITH RECURSIVE {LEAF}, {EDGE}, i AS (SELECT * FROM edge WHERE dst IN (SELECT leaf_id FROM leaf)), c AS (SELECT src, dst FROM i UNION SELECT c.src, e.dst FROM c JOIN i e ON e.src = c.dst) SELECT src, dst FROM c WHERE src <> dst",
+    "graph_scc": f"""WITH RECURSIVE {LINK}, c AS (SELECT src, dst FROM link UNION SELECT c.src, e.dst FROM c JOIN link e ON e.src = c.dst), ids AS (SELECT src AS id FROM link UNION SELECT dst FROM link)
+      SELECT i.id, least(i.id, coalesce((SELECT min(a.dst) FROM c a JOIN c b ON b.src = a.dst AND b.dst = a.src WHERE a.src = i.id), i.id)) AS scc FROM ids i""",
+    "graph_cyclic": f"""WITH RECURSIVE {LINK}, c AS (SELECT src, dst FROM link UNION SELECT c.src, e.dst FROM c JOIN link e ON e.src = c.dst), m AS (SELECT DISTINCT a.src AS id, a.dst AS other FROM c a JOIN c b ON b.src = a.dst AND b.dst = a.src),
+      s AS (SELECT id, min(other) AS scc FROM m GROUP BY id) SELECT scc, string_agg(id, ',' ORDER BY id) AS members, count(*) AS size FROM s GROUP BY scc""",
+    "graph_components": f"""WITH RECURSIVE {LINK}, u AS (SELECT src, dst FROM link UNION SELECT dst, src FROM link), c AS (SELECT src, dst FROM u UNION SELECT c.src, u.dst FROM c JOIN u ON u.src = c.dst) SELECT src AS id, least(src, min(dst)) AS component FROM c GROUP BY src""",
+    "tree_edges": f"WITH {TREE}, {TEDGE} SELECT * FROM tedge",
+    "children_page": f"""WITH {TREE}, {TEDGE}, r AS (SELECT proof_id, parent_id, child_id, row_number() OVER (PARTITION BY proof_id, parent_id ORDER BY child_order, child_id) - 1 AS "at", count(*) OVER (PARTITION BY proof_id, parent_id) AS total FROM tedge)
+      SELECT *, total > 3 AS has_more FROM r WHERE "at" >= 1 AND "at" < 3""",
+    "ancestry_path": f"""WITH RECURSIVE {TREE}, {TEDGE}, f AS (SELECT proof_id, child_id, min(parent_id) AS up FROM tedge GROUP BY ALL), s AS (SELECT proof_id, parent_id AS id FROM tedge UNION SELECT proof_id, child_id FROM tedge),
+      a AS (SELECT proof_id, id AS node_id, id AS top, [id] AS path FROM s UNION ALL SELECT a.proof_id, a.node_id, f.up, list_prepend(f.up, a.path) FROM a JOIN f ON f.proof_id = a.proof_id AND f.child_id = a.top WHERE NOT list_contains(a.path, f.up))
+      SELECT a.proof_id, a.node_id, array_to_string(a.path, '>') AS path, f.up IS NOT NULL AS cut FROM a LEFT JOIN f ON f.proof_id = a.proof_id AND f.child_id = a.top WHERE f.up IS NULL OR list_contains(a.path, f.up)""",
+    "provenance_join": f"WITH {LEAF}, {TREE}, r AS (SELECT proof_id, node_id, unnest(list_distinct(refs)) AS leaf_id FROM tree) SELECT r.proof_id, r.node_id, r.leaf_id, l.module_path, l.declaration_name FROM r JOIN leaf l USING (leaf_id)",
+    "snapshot_violations": f"""WITH {TREE}, e AS (SELECT {cid("proof_id")} AS proof_id, {cid("parent_id")} AS parent_id, {cid("child_id")} AS child_id FROM tree_edges), n AS (SELECT *, count(*) AS n FROM e WHERE proof_id IS NOT NULL AND parent_id IS NOT NULL AND child_id IS NOT NULL GROUP BY ALL), i AS (SELECT proof_id, node_id FROM tree)
+      SELECT proof_id, 'unknown_edge_parent' AS code, parent_id, child_id FROM n WHERE (proof_id, parent_id) NOT IN (SELECT (proof_id, node_id) FROM i) UNION ALL SELECT proof_id, 'unknown_edge_child', parent_id, child_id FROM n WHERE (proof_id, child_id) NOT IN (SELECT (proof_id, node_id) FROM i)
+      UNION ALL SELECT proof_id, 'duplicate_edge', parent_id, child_id FROM n WHERE n > 1 UNION ALL SELECT DISTINCT proof_id, 'missing_root', '', '' FROM i WHERE proof_id NOT IN (SELECT proof_id FROM i WHERE (proof_id, node_id) NOT IN (SELECT (proof_id, child_id) FROM n))""",
+    "drilldown": f"""WITH RECURSIVE {TREE}, {TEDGE}, r AS (SELECT proof_id, parent_id, child_id, row_number() OVER (PARTITION BY proof_id, parent_id ORDER BY child_order, child_id) - 1 AS "at", count(*) OVER (PARTITION BY proof_id, parent_id) AS total FROM tedge),
+      v AS (SELECT DISTINCT proof_id, parent_id AS node_id, 0 AS depth, '0000' AS place, [parent_id] AS trail FROM tedge t WHERE (proof_id, parent_id) NOT IN (SELECT (proof_id, child_id) FROM tedge)
+        UNION ALL SELECT v.proof_id, r.child_id, v.depth + 1, v.place || '.' || lpad(r."at"::varchar, 4, '0'), list_append(v.trail, r.child_id) FROM v JOIN r ON r.proof_id = v.proof_id AND r.parent_id = v.node_id WHERE r."at" < 3 AND v.depth < 4 AND NOT list_contains(v.trail, r.child_id))
+      SELECT v.proof_id, v.node_id, v.depth, v.place, CASE WHEN v.depth = 4 THEN coalesce(t.total, 0) ELSE greatest(coalesce(t.total, 0) - 3, 0) END AS hidden FROM v LEFT JOIN (SELECT DISTINCT proof_id, parent_id, total FROM r) t ON t.proof_id = v.proof_id AND t.parent_id = v.node_id""",
+    "support_leaf_sets": f"""WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, lf AS (SELECT proof_id, node_id FROM tree WHERE node_kind = 'leaf'),
+      b AS (SELECT p.proof_id, p.node_id, p.descendant_id FROM pair p JOIN tree t ON t.proof_id = p.proof_id AND t.node_id = p.node_id AND t.node_kind = 'parent' JOIN lf ON lf.proof_id = p.proof_id AND lf.node_id = p.descendant_id UNION SELECT proof_id, node_id, node_id FROM lf)
+      SELECT proof_id, node_id, count(*) AS n_leaves, string_agg(descendant_id, ',' ORDER BY descendant_id) AS support FROM b GROUP BY ALL""",
+    "quality_samples": f"WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, {SAMPLES} SELECT * FROM sample",
+    "quality_metrics": f"WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, {SAMPLES} SELECT {METRICS} FROM sample",
+    "quality_by_proof": f"WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, {SAMPLES} SELECT proof_id, {METRICS} FROM sample GROUP BY proof_id",
+    "quality_gate": f"""WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, {SAMPLES}, m AS (SELECT {METRICS} FROM sample) SELECT 'max_spread' AS metric, max_spread::double AS value, 2.0::double AS bound, max_spread <= 2 AS ok FROM m UNION ALL SELECT 'unsupported_rate', unsupported_rate, 0.5, unsupported_rate <= 0.5 FROM m
+      UNION ALL SELECT 'overflow_rate', overflow_rate, 0.0, overflow_rate <= 0 FROM m UNION ALL SELECT 'mean_evidence', mean_evidence, 0.9, mean_evidence >= 0.9 FROM m UNION ALL SELECT 'mean_support', mean_support, 0.5, mean_support >= 0.5 FROM m""",
+    "baseline_compare": """WITH a AS (SELECT lang, count(*) AS docs, min(n_chars) AS c FROM documents WHERE doc_kind = 'prose' GROUP BY lang), b AS (SELECT lang, count(*) AS docs, min(n_chars) AS c FROM documents WHERE doc_kind = 'code' GROUP BY lang),
+      j AS (SELECT coalesce(a.lang, b.lang) AS lang, a.docs AS ad, b.docs AS bd, a.c AS ac, b.c AS bc FROM a FULL JOIN b ON a.lang IS NOT DISTINCT FROM b.lang)
+      SELECT lang, 'missing' AS code, '' AS field FROM j WHERE ad IS NULL UNION ALL SELECT lang, 'unexpected', '' FROM j WHERE bd IS NULL UNION ALL SELECT lang, 'field_mismatch', 'docs' FROM j WHERE ad <> bd UNION ALL SELECT lang, 'field_mismatch', 'least_chars' FROM j WHERE ad IS NOT NULL AND bd IS NOT NULL AND ac IS DISTINCT FROM bc""",
+    "spread_policy": f"""WITH {TREE}, k AS (SELECT proof_id, node_id, unnest(list_distinct(child_ids)) AS child FROM tree WHERE node_kind = 'parent'), s AS (SELECT k.proof_id, k.node_id, max(coalesce(t.complexity, 3.0)) - min(coalesce(t.complexity, 3.0)) AS spread FROM k LEFT JOIN tree t ON t.proof_id = k.proof_id AND t.node_id = k.child GROUP BY ALL)
+      SELECT *, spread <= 1 AS ok FROM s""",
+    "prereq_violations": f"""WITH {LEAF}, {EDGE}, {TREE}, k AS (SELECT proof_id, node_id, unnest(child_ids) AS child, generate_subscripts(child_ids, 1) AS "at" FROM tree WHERE node_kind = 'parent')
+      SELECT a.proof_id, a.node_id, count(*) AS violations FROM k a JOIN edge e ON e.src = a.child JOIN k b ON b.proof_id = a.proof_id AND b.node_id = a.node_id AND b.child = e.dst AND b."at" > a."at" GROUP BY ALL""",
+    "change_plan": f"""WITH RECURSIVE {leaf_cte("o", f"indexed_at < {_TIME}")}, {leaf_cte("w", "deleted_at IS NULL")}, oa AS (SELECT leaf_id, {_FP} AS fp FROM o), wa AS (SELECT leaf_id, {_FP} AS fp FROM w),
+      c AS (SELECT coalesce(oa.leaf_id, wa.leaf_id) AS id, CASE WHEN oa.fp IS NULL THEN 'added' WHEN wa.fp IS NULL THEN 'removed' WHEN oa.fp <> wa.fp THEN 'changed' ELSE 'same' END AS change_type FROM oa FULL JOIN wa ON oa.leaf_id = wa.leaf_id),
+      e AS (SELECT DISTINCT leaf_id AS src, unnest(dependency_ids) AS dst FROM w), b AS (SELECT id FROM c WHERE change_type <> 'same' UNION SELECT e.src FROM b JOIN e ON e.dst = b.id)
+      SELECT coalesce(c.id, b.id) AS id, coalesce(c.change_type, 'external') AS change_type, b.id IS NOT NULL AS is_blocked FROM c FULL JOIN b ON b.id = c.id""",
+    "job_rollup": f"""WITH {JOB} SELECT leaf_id, count(*) AS jobs, count(*) FILTER (job_status = 'queued') AS n_queued, count(*) FILTER (job_status = 'running') AS n_running, count(*) FILTER (job_status = 'success') AS n_success, count(*) FILTER (job_status = 'failure') AS n_failure, count(*) FILTER (job_status = 'timeout') AS n_timeout,
+      arg_max(job_id, (queue_sequence, job_id)) AS latest_job FROM job WHERE leaf_id IS NOT NULL GROUP BY leaf_id""",
+    "next_queued": f"WITH {JOB} SELECT queue_sequence, job_id FROM job WHERE job_status = 'queued' ORDER BY queue_sequence, job_id LIMIT 1",
+    "log_interleave": f"""WITH l AS (SELECT DISTINCT job_id, l.line_index AS i, l.stream_name AS s, l.message AS m FROM (SELECT {cid("job_id")} AS job_id, unnest(logs) AS l FROM verification_jobs) WHERE l IS NOT NULL AND job_id IS NOT NULL),
+      r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY i NULLS FIRST, s NULLS FIRST, m NULLS FIRST) - 1 AS "at", count(*) OVER (PARTITION BY job_id) AS n FROM l)
+      SELECT job_id, "at", CASE WHEN NOT (n > 20 AND "at" = 19) THEN i END AS line_index, CASE WHEN n > 20 AND "at" = 19 THEN 'system' ELSE s END AS stream_name, CASE WHEN n > 20 AND "at" = 19 THEN 'log truncated' ELSE m END AS message FROM r WHERE "at" < 20""",
+    "leaf_hashes": f"""WITH {LEAF}, x AS (SELECT leaf_id, source_span.file_path || ':' || source_span.start_line || ':' || source_span.start_column || '-' || source_span.end_line || ':' || source_span.end_column AS span, * EXCLUDE (leaf_id) FROM leaf)
+      SELECT leaf_id, sha256('id=' || leaf_id || chr(10) || 'module=' || module_path || chr(10) || 'name=' || declaration_name || chr(10) || 'kind=' || theorem_kind || chr(10) || 'statement=' || statement_text || chr(10) || 'pretty=' || pretty_statement || chr(10) || 'span=' || coalesce(span, '') || chr(10) || 'tags=' || array_to_string(tags, ',') || chr(10) || 'dependencies=' || array_to_string(dependency_ids, ',')) AS hash FROM x""",
+    "tree_diff": f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proof_id, snapshot_id ORDER BY delivery_no DESC) AS rn FROM tree_snapshots) WHERE rn = 1),
+      f AS (SELECT *, row_number() OVER (PARTITION BY proof_id ORDER BY taken_at, snapshot_id) AS a, row_number() OVER (PARTITION BY proof_id ORDER BY taken_at DESC, snapshot_id DESC) AS z FROM h),
+      n AS (SELECT DISTINCT f.proof_id, f.a = 1 AS is_old, f.z = 1 AS is_new, {cid("s.node_id")} AS node_id, s.node_kind, trim(regexp_replace(s.statement_text, '{_W}+', ' ', 'g')) AS t, {idset("s.child_ids")} AS kids FROM snapshot_nodes s JOIN f ON f.proof_id = s.proof_id AND f.snapshot_id = s.snapshot_id AND f.delivery_no = s.delivery_no WHERE f.a = 1 OR f.z = 1),
+      k AS (SELECT *, proof_id || '|' || CASE WHEN node_kind = 'leaf' THEN 'leaf:' || node_id ELSE 'parent:' || array_to_string(list_filter(kids, lambda e: NOT starts_with(e, 'p_')), ',') END AS key FROM n),
+      o AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY node_id) AS place, t FROM k WHERE is_old), w AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY node_id) AS place, t FROM k WHERE is_new)
+      SELECT coalesce(o.key, w.key) AS key, coalesce(o.place, w.place) AS place, CASE WHEN o.key IS NULL THEN 'added' WHEN w.key IS NULL THEN 'removed' ELSE 'changed' END AS change_type FROM o FULL JOIN w ON o.key = w.key AND o.place = w.place WHERE o.key IS NULL OR w.key IS NULL OR o.t IS DISTINCT FROM w.t""",
+    "quality_by_depth": f"WITH RECURSIVE {TREE}, {ALLK}, {PAIR}, {OWN}, {LEVELS}, {SAMPLES} SELECT coalesce(b.b[1], -1)::int AS hops, {METRICS} FROM sample s LEFT JOIN best b ON b.proof_id = s.proof_id AND b.node_id = s.node_id GROUP BY 1",
+}

@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lemmaflow.operators import hierarchy, logs, nested, orphans, snapshots
+from lemmaflow.functions import text
+from lemmaflow.functions.canon import Config
+from lemmaflow.functions.ids import clean_id, clean_ids
+from lemmaflow.operators import change, graph, hierarchy, ingest, leaf, logs, nested, orphans, quality, snapshots, store, tagging, trees
 from lemmaflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +100,354 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return orphans.report(orphans.cascade(*_references(spark, d)))
+
+
+# The operators on declarations, graphs, trees and jobs.
+
+CONFIG = Config()
+DOMAIN = tagging.keyword_adapter("domain:kernel", r"(^|\.)Kernel(\.|$)", r"(?i)(?<![A-Za-z0-9_])kernel(?![A-Za-z0-9_])")
+ADAPTERS = {"kernel": DOMAIN, tagging.FALLBACK: tagging.generic}
+SPLIT_TIME = "2025-07-01 00:00:00"
+
+
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    return leaf.leaves(table(spark, d, "lean_declarations"))
+
+
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return graph.edges(_leaves(spark, d))
+
+
+def _tree(spark: SparkSession, d: str) -> DataFrame:
+    return quality.tree_table(table(spark, d, "tree_nodes"))
+
+
+def _pairs(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.descendants(hierarchy.links_of(table(spark, d, "tree_edges").limit(0), table(spark, d, "tree_nodes")))
+
+
+def _links_graph(spark: SparkSession, d: str) -> DataFrame:
+    e = table(spark, d, "tree_edges").select(clean_id("parent_id").alias("src"), clean_id("child_id").alias("dst"))
+    return e.where("src IS NOT NULL AND dst IS NOT NULL").distinct()
+
+
+@query
+def text_tokens(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select("doc_id", text.tokens("text").alias("t"))
+    return t.select("doc_id", F.size("t").alias("n_tokens"), F.size(F.array_distinct("t")).alias("n_distinct"))
+
+
+@query
+def text_stems(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "documents").select(F.explode(text.stems("text")).alias("stem"))
+    return t.groupBy("stem").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def text_keys(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").where("source IS NOT NULL").select(text.key_component("source").alias("source_key")).groupBy("source_key").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def jaccard_pairs(spark: SparkSession, d: str) -> DataFrame:
+    rows = _leaves(spark, d).select(F.col("module_path").alias("tree_id"), F.col("leaf_id").alias("node_id"), "statement_text")
+    return trees.pair_similarity(rows, 0.5)
+
+
+@query
+def leaf_map(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return x.select("leaf_id", "module_path", "declaration_name", "theorem_kind", "statement_text", "pretty_statement", F.array_join("tags", ",").alias("tags"), F.array_join("dependency_ids", ",").alias("dependency_ids"))
+
+
+@query
+def leaf_problems(spark: SparkSession, d: str) -> DataFrame:
+    return leaf.problems(_leaves(spark, d))
+
+
+@query
+def leaf_hashes(spark: SparkSession, d: str) -> DataFrame:
+    return leaf.canonical_text(_leaves(spark, d)).select("leaf_id", "hash")
+
+
+@query
+def classify_rules(spark: SparkSession, d: str) -> DataFrame:
+    c = tagging.classify(_leaves(spark, d), ADAPTERS)
+    return c.select("leaf_id", "adapter_id", "confidence", F.array_join("tags", ",").alias("tags"))
+
+
+def _tag_metrics(spark: SparkSession, d: str) -> DataFrame:
+    said = table(spark, d, "lean_declarations").select(clean_id("declaration_id").alias("leaf_id"), F.explode(leaf.id_set("domain_classification.tags")).alias("t")).groupBy("leaf_id").agg(F.collect_set("t").alias("expected"))
+    c = tagging.classify(_leaves(spark, d), ADAPTERS).join(said, "leaf_id")
+    return tagging.evaluate(c.select(F.col("leaf_id").alias("sample_id"), "expected", F.col("tags").alias("predicted")))
+
+
+@query
+def tag_eval(spark: SparkSession, d: str) -> DataFrame:
+    return _tag_metrics(spark, d)
+
+
+@query
+def tag_eval_macro(spark: SparkSession, d: str) -> DataFrame:
+    return tagging.macro(_tag_metrics(spark, d))
+
+
+@query
+def dedupe_first(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    return docs.groupBy(F.xxhash64("text").alias("a"), F.sha2("text", 256).alias("text_hash")).agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("copies")).drop("a")
+
+
+def _code_sources(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").where("lower(doc_kind) = 'code'")
+    body = F.array_join(F.expr("regexp_extract_all(text, r'(?s)```lean\\n(.*?)(?:```|$)', 1)"), "\n")
+    return docs.select(F.concat(F.lit("Docs/D"), F.col("doc_id").cast("string"), F.lit(".lean")).alias("file_path"), body.alias("content"))
+
+
+@query
+def ingest_declarations(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.declarations(_code_sources(spark, d)).where("copy = 1").drop("copy", "body")
+
+
+@query
+def ingest_links(spark: SparkSession, d: str) -> DataFrame:
+    return ingest.ingest(_code_sources(spark, d))[1]
+
+
+@query
+def symbol_links(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return ingest.symbol_links(x.select(F.col("leaf_id").alias("src"), F.concat_ws(" ", "declaration_name", "statement_text").alias("body")), x.select(F.col("leaf_id").alias("id"), F.col("declaration_name").alias("name")))
+
+
+@query
+def graph_edges(spark: SparkSession, d: str) -> DataFrame:
+    return _edges(spark, d)
+
+
+@query
+def graph_nodes(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return graph.nodes(x, graph.edges(x))
+
+
+@query
+def graph_missing(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return graph.missing(x, graph.edges(x))
+
+
+@query
+def graph_degree(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    e = graph.edges(x)
+    return graph.degrees(graph.nodes(x, e), e)
+
+
+@query
+def graph_totals(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    e = graph.edges(x)
+    return graph.totals(graph.nodes(x, e), e, graph.missing(x, e))
+
+
+@query
+def graph_closure(spark: SparkSession, d: str) -> DataFrame:
+    return graph.closure(_edges(spark, d))
+
+
+@query
+def graph_closure_no_external(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return graph.closure(graph.edges(x), within=x.select(F.col("leaf_id").alias("dst")))
+
+
+@query
+def graph_scc(spark: SparkSession, d: str) -> DataFrame:
+    return graph.strong_components(_links_graph(spark, d))
+
+
+@query
+def graph_cyclic(spark: SparkSession, d: str) -> DataFrame:
+    e = _links_graph(spark, d)
+    c = graph.cyclic_components(e, graph.strong_components(e))
+    return c.select("scc", F.array_join("members", ",").alias("members"), "size")
+
+
+@query
+def graph_components(spark: SparkSession, d: str) -> DataFrame:
+    return graph.components(_links_graph(spark, d))
+
+
+@query
+def graph_batches(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    return graph.batches(graph.indexed(x), graph.edges(x))
+
+
+@query
+def graph_fingerprint(spark: SparkSession, d: str) -> DataFrame:
+    x = _leaves(spark, d)
+    e = graph.edges(x)
+    return graph.fingerprint(graph.nodes(x, e), e)
+
+
+@query
+def tree_build(spark: SparkSession, d: str) -> DataFrame:
+    need = _leaves(spark, d).select(F.col("leaf_id").alias("node_id"), F.col("dependency_ids").alias("needs"))
+    rows = _tree(spark, d).where("node_kind = 'leaf'").join(need, "node_id", "left").select(F.col("proof_id").alias("tree_id"), "node_id", "statement_text", F.col("complexity").alias("complexity_score"), "needs")
+    b = trees.build_trees(rows, CONFIG)
+    return b.withColumn("child_ids", F.array_join("child_ids", ",")).withColumn("evidence_refs", F.array_join("evidence_refs", ",")).withColumn("violations", F.array_join("violations", ","))
+
+
+@query
+def tree_edges(spark: SparkSession, d: str) -> DataFrame:
+    return store.edges_of(_tree(spark, d))
+
+
+@query
+def children_page(spark: SparkSession, d: str) -> DataFrame:
+    return store.child_page(store.edges_of(_tree(spark, d)), 1, 2)
+
+
+@query
+def ancestry_path(spark: SparkSession, d: str) -> DataFrame:
+    a = store.ancestry(store.edges_of(_tree(spark, d)))
+    return a.select("proof_id", "node_id", F.array_join("path", ">").alias("path"), "cut")
+
+
+@query
+def provenance_join(spark: SparkSession, d: str) -> DataFrame:
+    return store.provenance(_tree(spark, d), _leaves(spark, d))
+
+
+@query
+def snapshot_violations(spark: SparkSession, d: str) -> DataFrame:
+    return store.violations(_tree(spark, d), table(spark, d, "tree_edges"))
+
+
+@query
+def drilldown(spark: SparkSession, d: str) -> DataFrame:
+    e = store.edges_of(_tree(spark, d))
+    kids = e.select("proof_id", F.col("child_id").alias("node_id")).distinct()
+    roots = e.select("proof_id", F.col("parent_id").alias("node_id")).distinct().join(kids, ["proof_id", "node_id"], "left_anti")
+    return store.drill_down(e, roots, 3, 4)
+
+
+@query
+def support_leaf_sets(spark: SparkSession, d: str) -> DataFrame:
+    return store.support_sets(_tree(spark, d), _pairs(spark, d))
+
+
+def _keyed(spark: SparkSession, d: str, last: bool) -> DataFrame:
+    """Nodes of the first or last snapshot of each proof, by proof, kind and leaves directly below."""
+    h = snapshots.latest_headers(table(spark, d, "tree_snapshots"))
+    pick = F.max_by if last else F.min_by
+    h = h.groupBy("proof_id").agg(pick(F.struct("snapshot_id", "delivery_no"), F.struct("taken_at", "snapshot_id")).alias("s")).select("proof_id", "s.*")
+    n = table(spark, d, "snapshot_nodes").select(clean_id("proof_id").alias("proof_id"), clean_id("snapshot_id").alias("snapshot_id"), "delivery_no", clean_id("node_id").alias("node_id"), "node_kind", "statement_text", leaf.id_set("child_ids").alias("kids"))
+    n = n.join(h, ["proof_id", "snapshot_id", "delivery_no"], "left_semi").dropDuplicates(["proof_id", "node_id"])
+    key = F.when(F.col("node_kind") == "leaf", F.concat(F.lit("leaf:"), "node_id")).otherwise(F.concat(F.lit("parent:"), F.array_join(F.filter("kids", lambda x: ~x.startswith("p_")), ",")))
+    return n.select(F.concat_ws("|", "proof_id", key).alias("key"), "node_id", "statement_text")
+
+
+@query
+def tree_diff(spark: SparkSession, d: str) -> DataFrame:
+    return store.tree_diff(_keyed(spark, d, False), _keyed(spark, d, True))
+
+
+def _samples(spark: SparkSession, d: str) -> DataFrame:
+    return quality.samples(_tree(spark, d), _pairs(spark, d))
+
+
+@query
+def quality_samples(spark: SparkSession, d: str) -> DataFrame:
+    return _samples(spark, d)
+
+
+@query
+def quality_metrics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.metrics(_samples(spark, d), CONFIG)
+
+
+@query
+def quality_by_proof(spark: SparkSession, d: str) -> DataFrame:
+    return quality.metrics(_samples(spark, d), CONFIG, "proof_id")
+
+
+@query
+def quality_by_depth(spark: SparkSession, d: str) -> DataFrame:
+    levels = hierarchy.hierarchy(hierarchy.links_of(table(spark, d, "tree_edges").limit(0), table(spark, d, "tree_nodes")))
+    return quality.metrics(_samples(spark, d).join(levels.select("proof_id", "node_id", "hops"), ["proof_id", "node_id"]), CONFIG, "hops")
+
+
+@query
+def quality_gate(spark: SparkSession, d: str) -> DataFrame:
+    return quality.gate(quality.metrics(_samples(spark, d), CONFIG), {"max_spread": 2, "unsupported_rate": 0.5, "overflow_rate": 0}, {"mean_evidence": 0.9, "mean_support": 0.5})
+
+
+@query
+def quality_critic(spark: SparkSession, d: str) -> DataFrame:
+    return quality.critic(_tree(spark, d), CONFIG)
+
+
+@query
+def baseline_compare(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    agg = lambda k: docs.where(F.col("doc_kind") == k).groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), F.min("n_chars").alias("least_chars"))
+    return quality.compare_baseline(agg("prose"), agg("code"), "lang", ["docs", "least_chars"])
+
+
+@query
+def spread_policy(spark: SparkSession, d: str) -> DataFrame:
+    return quality.sibling_spread(_tree(spark, d), CONFIG)
+
+
+@query
+def prereq_violations(spark: SparkSession, d: str) -> DataFrame:
+    return quality.prerequisite_violations(_tree(spark, d), _edges(spark, d))
+
+
+def _versions(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    decls = table(spark, d, "lean_declarations")
+    return leaf.leaves(decls.where(F.col("indexed_at") < F.lit(SPLIT_TIME).cast("timestamp"))), leaf.leaves(decls.where("deleted_at IS NULL"))
+
+
+@query
+def change_plan(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    c = change.change_types(old, new)
+    b = change.blocked(c, graph.edges(new)).select("id", F.lit(True).alias("b"))
+    return c.join(b, "id", "full").select("id", F.coalesce("change_type", F.lit("external")).alias("change_type"), F.coalesce("b", F.lit(False)).alias("is_blocked"))
+
+
+@query
+def change_batches(spark: SparkSession, d: str) -> DataFrame:
+    old, new = _versions(spark, d)
+    return change.plan(old, new, graph.edges(new))
+
+
+@query
+def reuse_match(spark: SparkSession, d: str) -> DataFrame:
+    old = _tree(spark, d).where("node_kind = 'parent'").select("node_id", "child_ids", F.array("statement_text").alias("said"))
+    new = table(spark, d, "snapshot_nodes").where("node_kind = 'parent'").select(F.concat_ws("|", "snapshot_id", clean_id("node_id")).alias("node_id"), clean_ids("child_ids").alias("child_ids"), F.array(F.coalesce("statement_text", F.lit(""))).alias("said"))
+    return change.reuse(old, new.dropDuplicates(["node_id"]))
+
+
+@query
+def job_rollup(spark: SparkSession, d: str) -> DataFrame:
+    return store.job_rollup(store.job_table(table(spark, d, "verification_jobs")), ["queued", "running", "success", "failure", "timeout"])
+
+
+@query
+def next_queued(spark: SparkSession, d: str) -> DataFrame:
+    return store.next_queued(store.job_table(table(spark, d, "verification_jobs")))
+
+
+@query
+def log_interleave(spark: SparkSession, d: str) -> DataFrame:
+    return store.interleave_logs(table(spark, d, "verification_jobs"), 20)
+
+
+@query
+def scene_layout(spark: SparkSession, d: str) -> DataFrame:
+    return store.scene(hierarchy.hierarchy(_links(spark, d)))
