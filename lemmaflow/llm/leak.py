@@ -78,11 +78,11 @@ def suffix_array(sym: np.ndarray) -> np.ndarray:
 class FMIndex:
     """Backward search over symbols 1.. of a text whose zeros separate documents."""
 
-    def __init__(self, sym: np.ndarray, sample: int = 8) -> None:
+    def __init__(self, sym: np.ndarray, sample: int = 8, largest: int = 1) -> None:
         n = len(sym)
         sa = suffix_array(sym)
         bwt = sym[sa - 1]
-        self.n, self.bits = n, max(1, int(sym.max()).bit_length())
+        self.n, self.bits = n, max(largest, int(sym.max())).bit_length()
         counts = np.bincount(sym, minlength=1 << self.bits)
         self.first = np.concatenate([[0], np.cumsum(counts)])[:-1]
         self.ones, self.zeros, now = [], [], bwt
@@ -229,6 +229,8 @@ def follow(pieces: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: int, a
 
 def search_shard(docs: list[tuple[int, str]], passages: Passages, exact_words: int, altered_words: int, least_share: float) -> list[tuple]:
     """Rows of SPANS for one shard."""
+    if not passages.seeds:
+        return []
     vocabulary = passages.vocabulary
     parts, places, bounds = [], [], [0]
     for _, text in docs:
@@ -237,7 +239,7 @@ def search_shard(docs: list[tuple[int, str]], passages: Passages, exact_words: i
         places.append(pieces)
         bounds.append(bounds[-1] + len(pieces) + 1)
     sym = np.concatenate(parts)
-    index = FMIndex(sym)
+    index = FMIndex(sym, largest=len(vocabulary) + 1)
     lo, hi = index.search(passages.phrases, passages.sizes)
     n = hi - lo
     at = index.locate(_runs(lo, n))
