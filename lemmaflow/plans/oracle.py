@@ -117,7 +117,7 @@ ORACLE: dict[str, str] = {
     "p2_found": f"""WITH RECURSIVE {BOTH}, {LEVELS}, rc AS (SELECT proof_id, src, dst FROM lk UNION SELECT r.proof_id, r.src, k.dst FROM rc r JOIN lk k ON k.proof_id = r.proof_id AND k.src = r.dst)
       SELECT n.proof_id, n.node_id, coalesce(b.b[2], '') AS root_id, coalesce(b.b[1], -1)::int AS hops, ((n.proof_id, n.node_id) IN (SELECT (proof_id, src) FROM rc WHERE src = dst))::int AS in_cycle FROM nd n LEFT JOIN best b ON b.proof_id = n.proof_id AND b.node_id = n.node_id""",
     "p2_descendants": f"""WITH RECURSIVE {BOTH}, rc AS (SELECT proof_id, src, dst FROM lk UNION SELECT r.proof_id, r.src, k.dst FROM rc r JOIN lk k ON k.proof_id = r.proof_id AND k.src = r.dst) SELECT proof_id, src AS node_id, dst AS descendant_id FROM rc""",
-    "p4_found": f"""WITH l AS (SELECT DISTINCT job_id, lower({strip("l.stream_name")}) AS s, l.line_index AS i, l.message AS m FROM (SELECT {cid("job_id")} AS job_id, unnest(logs) AS l FROM verification_jobs) WHERE l IS NOT NULL AND job_id IS NOT NULL),
+    "p4_found": rf"""WITH l AS (SELECT DISTINCT job_id, lower({strip("l.stream_name")}) AS s, l.line_index AS i, l.message AS m FROM (SELECT {cid("job_id")} AS job_id, unnest(logs) AS l FROM verification_jobs) WHERE l IS NOT NULL AND job_id IS NOT NULL),
       b AS (SELECT *, s = 'system' OR regexp_matches(regexp_replace(coalesce(m, ''), '\x1b\[[0-9;?]*[a-zA-Z]', '', 'g'), '^({_STARTS})') AS starts FROM l WHERE s IS NOT NULL AND i IS NOT NULL),
       g AS (SELECT *, last_value(CASE WHEN starts THEN i END IGNORE NULLS) OVER (PARTITION BY job_id, s ORDER BY i, m ROWS UNBOUNDED PRECEDING) AS e FROM b) SELECT job_id, e AS first_index, max(i) AS last_index FROM g WHERE e IS NOT NULL GROUP BY job_id, s, e""",
     "p3_found": f"""WITH h AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY proof_id, snapshot_id ORDER BY delivery_no DESC) AS rn FROM tree_snapshots) WHERE rn = 1),
