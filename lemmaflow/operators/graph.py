@@ -102,8 +102,9 @@ def strong_components(edge: DataFrame, kernel_links: int = KERNEL_LINKS) -> Data
     is walked a connected component at a time; a larger component is cut by rounds of colours (forward) and reach (backward)."""
     edge = cut_lineage(edge.distinct())
     own = edge.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
-    core, before = edge.where("src <> dst"), -1
-    while True:
+    core, before = cut_lineage(edge.where("src <> dst")), -1
+    n = core.count()
+    while n > kernel_links:  # fewer fit the kernel as they are
         core = cut_lineage(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
         n = core.count()
         if n in (0, before):
@@ -111,8 +112,10 @@ def strong_components(edge: DataFrame, kernel_links: int = KERNEL_LINKS) -> Data
         before = n
     found = None
     while not core.isEmpty():
-        comp = components(core)
-        placed = cut_lineage(core.join(comp.select(F.col("id").alias("src"), "component"), "src"))
+        if n <= kernel_links:
+            placed = core.withColumn("component", F.lit(""))
+        else:
+            placed = cut_lineage(core.join(components(core).select(F.col("id").alias("src"), "component"), "src"))
         size = placed.groupBy("component").count()
         fit = placed.join(size.where(F.col("count") <= kernel_links), "component", "left_semi")
         part = cut_lineage(fit.groupBy("component").applyInPandas(_strong, "id string, scc string"))
@@ -139,6 +142,7 @@ def strong_components(edge: DataFrame, kernel_links: int = KERNEL_LINKS) -> Data
         found = cut_lineage(found.unionByName(reach.select("id", F.col("colour").alias("scc"))))
         gone = reach.select("id")
         core = cut_lineage(inner.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti").select("src", "dst"))
+        n = core.count()
     out = own if found is None else own.join(found, "id", "left")
     return out.select("id", F.col("id").alias("scc")) if found is None else out.select("id", F.coalesce("scc", "id").alias("scc"))
 
@@ -150,10 +154,41 @@ def cyclic_components(edge: DataFrame, scc: DataFrame) -> DataFrame:
     return g.where("size > 1 OR has_loop").select("scc", "members", "size")
 
 
-def batches(node: DataFrame, edge: DataFrame) -> DataFrame:
-    """id, batch, cyclic: layers in which every node comes after all it depends on; what a cycle holds back is one last batch."""
-    edge = cut_lineage(edge.join(node.select(F.col("id").alias("src")), "src", "left_semi").join(node.select(F.col("id").alias("dst")), "dst", "left_semi"))
-    left, n, done = cut_lineage(node.select("id").distinct()), 0, None
+def _layers(pdf: pd.DataFrame) -> pd.DataFrame:
+    needs: dict[str, set[str]] = {}
+    for src, dst in zip(pdf["src"], pdf["dst"]):
+        needs.setdefault(src, set())
+        if isinstance(dst, str):
+            needs[src].add(dst)
+    users: dict[str, list[str]] = {}
+    for i, ds in needs.items():
+        for j in ds:
+            users.setdefault(j, []).append(i)
+    open_ = {i: len(ds) for i, ds in needs.items()}
+    ready, n, out = sorted(i for i, k in open_.items() if k == 0), 0, []
+    while ready:
+        out += [(i, n, False) for i in ready]
+        n, nxt = n + 1, []
+        for i in ready:
+            for j in users.get(i, ()):
+                open_[j] -= 1
+                if open_[j] == 0:
+                    nxt.append(j)
+        ready = nxt
+    done = {i for i, _, _ in out}
+    out += [(i, n, True) for i in open_ if i not in done]
+    return pd.DataFrame(out, columns=["id", "batch", "cyclic"]).astype({"batch": "int32", "cyclic": "bool"})
+
+
+def batches(node: DataFrame, edge: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+    """id, batch, cyclic: layers in which every node comes after all it depends on; what a cycle holds back is one last batch.
+    Up to `kernel_links` nodes and edges go through one kernel; more, through a parallel round a layer."""
+    edge = edge.join(node.select(F.col("id").alias("src")), "src", "left_semi").join(node.select(F.col("id").alias("dst")), "dst", "left_semi").select("src", "dst")
+    both = cut_lineage(edge.unionByName(node.select(F.col("id").alias("src"), F.lit(None).cast("string").alias("dst"))).distinct())
+    if both.count() <= kernel_links:
+        return both.withColumn("one", F.lit("")).groupBy("one").applyInPandas(_layers, "id string, batch int, cyclic boolean")
+    edge = both.where("dst IS NOT NULL")
+    left, n, done = both.select(F.col("src").alias("id")).distinct(), 0, None
     while not left.isEmpty():
         ready = cut_lineage(left.join(edge.select(F.col("src").alias("id")).distinct(), "id", "left_anti").withColumn("batch", F.lit(n)).withColumn("cyclic", F.lit(False)))
         if ready.isEmpty():

@@ -195,7 +195,7 @@ def _kernel(what: str):  # noqa: ANN202
     return run
 
 
-def contract(edges: DataFrame, salts: int = 64) -> DataFrame:
+def contract(edges: DataFrame, block_links: int = 100_000) -> DataFrame:
     """(key, node, label): the connected component of each end of (key, a, b), label being its smallest node.
 
     Each round first contracts the edges inside salted blocks of a key by union-find, which takes most of the work off
@@ -227,8 +227,10 @@ def contract(edges: DataFrame, salts: int = 64) -> DataFrame:
         yield pd.DataFrame([(k, n, find(k, n)) for k, n in list(up)], columns=["key", "node", "label"])
 
     labels = None
+    now = cut_lineage(now)
     while True:
-        spread = now.repartition(salts, "key", (F.xxhash64("a") % 1024))
+        blocks = -(-now.count() // block_links) or 1
+        spread = now.repartition(blocks, "key", F.xxhash64("a"))
         pairs = cut_lineage(spread.mapInPandas(block, schema).distinct())
         # every node keeps the smallest label given to it; its other labels are joined to that one in the next round
         least = pairs.groupBy("key", "node").agg(F.min("label").alias("label"), F.max("label").alias("most"))
@@ -239,6 +241,8 @@ def contract(edges: DataFrame, salts: int = 64) -> DataFrame:
         else:
             step = joined.select("key", F.col("node").alias("label"), F.col("label").alias("to"))
             labels = cut_lineage(labels.join(step, ["key", "label"], "left").select("key", "node", F.coalesce("to", "label").alias("label")))
+        if blocks == 1:  # one block has seen all links
+            return labels
         again = cut_lineage(again)
         if again.isEmpty():
             return labels

@@ -23,7 +23,7 @@ ENDS = [":=", "\nwhere", " where", "\nby", " by"]
 
 def read_sources(spark: SparkSession, root: str, include: list[str] | None = None) -> DataFrame:
     """file_path (below root), content of every .lean file, without the skipped folders."""
-    df = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.lean").text([f"{root}/{p}" for p in include] if include else root)
+    df = spark.read.text([f"{root}/{p}" for p in include] if include else root, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.lean")
     full = F.regexp_replace(F.col("_metadata.file_path"), r"^file:/*", "/")
     path = F.regexp_replace(full, "^\\Q" + root.rstrip("/") + "\\E/", "")
     skipped = "(^|/)(" + "|".join(p.replace(".", r"\.") for p in SKIPPED_FOLDERS) + ")/"

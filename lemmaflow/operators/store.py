@@ -6,10 +6,12 @@ results.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lemmaflow.functions.ids import clean_id, squash_space
+from lemmaflow.operators.hierarchy import KERNEL_LINKS
 from lemmaflow.session import cut_lineage
 
 
@@ -26,8 +28,33 @@ def child_page(edge: DataFrame, offset: int, limit: int) -> DataFrame:
     return rows.where((F.col("at") >= offset) & (F.col("at") < offset + limit)).withColumn("has_more", F.col("total") > offset + limit).select("proof_id", "parent_id", "child_id", "at", "total", "has_more")
 
 
-def ancestry(edge: DataFrame) -> DataFrame:
-    """proof_id, node_id, path (root first), cut: each node's chain of first parents (the smallest parent id); cut where a cycle ends it."""
+def _chains(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+    up = {c: p for c, p in zip(pdf["node_id"], pdf["up"]) if isinstance(p, str)}
+    rows = []
+    for n in sorted(set(pdf["node_id"])):
+        path, seen, top = [n], {n}, n
+        while (above := up.get(top)) is not None and above not in seen:
+            path.append(above)
+            seen.add(above)
+            top = above
+        rows.append((key[0], n, path[::-1], above is not None))
+    return pd.DataFrame(rows, columns=["proof_id", "node_id", "path", "cut"])
+
+
+def ancestry(edge: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+    """proof_id, node_id, path (root first), cut: each node's chain of first parents (the smallest parent id); cut where a cycle ends it.
+    Proofs of up to `kernel_links` nodes go through a kernel each; larger ones, through a parallel round a level."""
+    ups = edge.groupBy("proof_id", F.col("child_id").alias("node_id")).agg(F.min("parent_id").alias("up"))
+    ids = edge.select("proof_id", F.explode(F.array("parent_id", "child_id")).alias("node_id")).distinct()
+    rows = cut_lineage(ids.join(ups, ["proof_id", "node_id"], "left"))
+    hot = rows.groupBy("proof_id").count().where(F.col("count") > kernel_links).select("proof_id")
+    small = rows.join(hot, "proof_id", "left_anti").groupBy("proof_id").applyInPandas(_chains, "proof_id string, node_id string, path array<string>, cut boolean")
+    if hot.isEmpty():
+        return small
+    return small.unionByName(_ancestry_rounds(edge.join(hot, "proof_id", "left_semi")))
+
+
+def _ancestry_rounds(edge: DataFrame) -> DataFrame:
     first = cut_lineage(edge.groupBy("proof_id", F.col("child_id").alias("node_id")).agg(F.min("parent_id").alias("up")))
     start = edge.select("proof_id", F.explode(F.array("parent_id", "child_id")).alias("node_id")).distinct()
     now = cut_lineage(start.select("proof_id", "node_id", F.col("node_id").alias("top"), F.array("node_id").alias("path")))

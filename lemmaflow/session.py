@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,7 +24,29 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+def _drop(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the session may be gone already
+        pass
+
+
+_folders: dict[str, str] = {}
+
+
+def scratch_folder(spark: SparkSession) -> str:
+    """A folder of this session's own below the checkpoint folder, removed when Python ends."""
+    key = spark.sparkContext.applicationId
+    if key not in _folders:
+        _folders[key] = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lemmaflow-{uuid.uuid4().hex}"
+        atexit.register(_drop, spark, _folders[key])
+    return _folders[key]
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared checkpoint folder and go on from there; a lost executor loses nothing."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write the rows as a table in the shared checkpoint folder and go on from it: a lost executor loses nothing, each row is computed
+    once, and later joins know the table's size."""
+    folder = f"{scratch_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

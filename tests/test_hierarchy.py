@@ -91,8 +91,9 @@ def test_components_layers_and_closure(spark, rows):
     e = spark.createDataFrame([("b", "a"), ("c", "b"), ("d", "b"), ("e", "e"), ("x", "y"), ("y", "x"), ("z", "x")], "src string, dst string")
     assert dict(rows(graph.components(e))) == {"a": "a", "b": "a", "c": "a", "d": "a", "e": "e", "x": "x", "y": "x", "z": "x"}
     nodes = spark.createDataFrame([(x,) for x in "abcdxyz"], "id string")
-    layers = {r.id: (r.batch, r.cyclic) for r in graph.batches(nodes, e).collect()}
-    assert layers == {"a": (0, False), "b": (1, False), "c": (2, False), "d": (2, False), "x": (3, True), "y": (3, True), "z": (3, True)}
+    for links in (1000, 0):
+        layers = {r.id: (r.batch, r.cyclic) for r in graph.batches(nodes, e, links).collect()}
+        assert layers == {"a": (0, False), "b": (1, False), "c": (2, False), "d": (2, False), "x": (3, True), "y": (3, True), "z": (3, True)}
     assert ("c", "a") in rows(graph.closure(e)) and ("x", "x") not in rows(graph.closure(e))
     deps = spark.createDataFrame([("A", "B"), ("A", "C"), ("A", "X"), ("B", "D")], "src string, dst string")
     assert graph.support_order(deps, "A") == ["D", "B", "C", "X"]
