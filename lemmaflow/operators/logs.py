@@ -197,8 +197,10 @@ def entries(placed: DataFrame) -> DataFrame:
     bars = F.split(h("half"), r"\|")
     comp = F.when(keyed, _field(F.col("body"), "component|logger|module|name|target"))
     comp = comp.when((h("layout") == "bars") & ~glog, F.get(bars, F.lit(2)))
-    comp = comp.otherwise(F.regexp_replace(F.get(toks, h("comp_at") - 1), r"^[\[(<]+|[\])>:]+$", ""))
+    comp = comp.when(glog, F.nullif(F.regexp_extract(h("half"), r"^\S+ +\d+ ([\w.]+?)\.\w+:\d+\] ", 1), F.lit("")))
+    comp = comp.otherwise(F.regexp_replace(F.regexp_replace(F.get(toks, h("comp_at") - 1), r"^[\[(<]+|[\])>:]+$", ""), r"\[\d+\]?$", ""))
     first = F.when((h("layout") == "bars") & ~glog, F.array_join(F.slice(bars, 4, 1000), "|")).otherwise(F.array_join(F.slice(toks, h("msg_at"), 100_000), " "))
+    first = F.when(glog, F.regexp_replace(first, r"^(?:\d+ +)?[\w.]+:\d+\] ", "")).otherwise(F.regexp_replace(first, rf"^[\[(<](?i:{_LEVELS})[\])>]:?\s+", ""))
     message = F.when(keyed, F.coalesce(_field(F.col("body"), "msg|message|event"), F.col("body"))).when(F.col("stream_name") == "system", F.col("body"))
     rest = F.when(F.instr("body", "\n") > 0, F.expr("substring(body, instr(body, '\n'))")).otherwise("")
     message = message.otherwise(F.concat(first, rest))

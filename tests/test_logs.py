@@ -22,7 +22,7 @@ def test_entries_and_fields(spark, rows):
     assert got[14][1:] == ("INFO", "linter", "said so")
     assert got[16] == ("16:37:10", "ERROR", "linter", "report")
     assert got[17][2:] == ("kernel", "deep\ncaused by: retry 2025\nplan: 1 target")
-    assert got[12][:2] == ("0515 06:33:50.189314", "INFO") and got[13][1] == "WARNING"
+    assert got[12] == ("0515 06:33:50.189314", "INFO", "lake.build", "folded") and got[13] == ("Dec 19 19:12:18", "WARNING", "cache", "slow")
     assert rows(logs.found(logs.placed_lines(df.limit(0)))) == []
 
 

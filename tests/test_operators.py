@@ -40,7 +40,7 @@ def test_ingestion(spark, rows, tmp_path):
     got = {r.declaration_name: (r.theorem_kind, r.statement_text, r.start_line, r.end_line) for r in found.collect()}
     assert got["core_safe"] == ("theorem", "(n : Nat) : n = n", 4, 7) and got["helper"][:2] == ("definition", "Nat")
     assert got["uses"][1] == "core_safe = helper" and got["t"][1] == "definition t" and "odd name" in got and "no" not in got
-    assert rows(links.select(F.regexp_extract("src", ":([^:]+):", 1), F.regexp_extract("dst", ":([^:]+):", 1))) == [("t", "core_safe"), ("uses", "core_safe"), ("uses", "helper")]
+    assert rows(links.select(F.regexp_extract("src", "^lean:[^:]+:([^:]+):", 1), F.regexp_extract("dst", "^lean:[^:]+:([^:]+):", 1))) == [("t", "core_safe"), ("uses", "core_safe"), ("uses", "helper")]
     assert {r.code for r in warn.collect()} == {"unsupported_construct", "parse_fallback"}
 
 
