@@ -25,6 +25,9 @@ from lemmaflow.session import cut_lineage
 #: Links that one kernel call may hold: about 300 bytes each in Python.
 KERNEL_LINKS = 400_000
 
+#: Targets in one piece of work of the pairs.
+TARGETS = 1024
+
 FOUND = "proof_id string, node_id string, root_id string, hops int, in_cycle int"
 NODES = "proof_id string, node_id string, component_id string, root_id string, hops int, in_cycle int, path array<string>, n_descendants int"
 PAIRS = "proof_id string, node_id string, descendant_id string"
@@ -101,6 +104,7 @@ class Graph:
     def depth_first(self) -> tuple[list[bool], list[tuple[int, int]]]:
         """Which nodes lie on a cycle, and the back edges, from one walk with colours; lowest reachable open positions tell cycles apart."""
         self.scc = list(range(len(self.ids)))
+        self.sinks_first: list[list[int]] = []  # the strong components, each after all it leads to
         n = len(self.ids)
         order, low = [0] * n, [0] * n  # 0: not yet seen
         is_open, cyclic, back = [False] * n, [False] * n, []
@@ -144,22 +148,51 @@ class Graph:
                             members.append(j)
                             if j == i:
                                 break
+                        self.sinks_first.append(members)
                         if len(members) > 1:
                             least = min(members)
                             for j in members:
                                 cyclic[j], self.scc[j] = True, least
         return cyclic, back
 
-    def descendants(self, i: int) -> set[int]:
-        """Nodes reached over one link or more, i itself only if it lies on a cycle."""
-        seen: set[int] = set()
-        stack = list(self.out[i])
-        while stack:
-            j = stack.pop()
-            if j not in seen:
-                seen.add(j)
-                stack.extend(k for k in self.out[j] if k not in seen)
-        return seen
+    def reach(self, first: int, size: int) -> list[int]:
+        """For each node a bit set of which of the nodes first, first + 1, ... (size of them) it reaches over one link or more. depth_first() goes before."""
+        bits = [0] * len(self.ids)
+        for members in self.sinks_first:
+            r = 0
+            for i in members:
+                for j in self.out[i]:
+                    r |= bits[j]
+                    if 0 <= j - first < size:
+                        r |= 1 << (j - first)
+            for i in members:
+                bits[i] = r
+        return bits
+
+
+def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The pairs of rows that hold a packed graph and a block of targets, given out in bounded batches."""
+    for pdf in parts:
+        for row in pdf.itertuples():
+            g = Graph([], [])
+            g.ids, g.out, first = list(row.ids), [x.tolist() for x in row.kids], int(row.block) * TARGETS
+            g.parents = [[] for _ in g.ids]
+            for i, js in enumerate(g.out):
+                for j in js:
+                    g.parents[j].append(i)
+            g.depth_first()
+            held: tuple[list[str], list[str]] = ([], [])
+            for i, r in enumerate(g.reach(first, TARGETS)):
+                while r:
+                    low = r & -r
+                    held[0].append(g.ids[i])
+                    held[1].append(g.ids[first + low.bit_length() - 1])
+                    r ^= low
+                if len(held[0]) >= 50_000:
+                    yield pd.DataFrame({"proof_id": row.proof_id, "node_id": held[0], "descendant_id": held[1]})
+                    held = ([], [])
+            if held[0]:
+                yield pd.DataFrame({"proof_id": row.proof_id, "node_id": held[0], "descendant_id": held[1]})
 
 
 def _kernel(what: str):  # noqa: ANN202
@@ -167,9 +200,8 @@ def _kernel(what: str):  # noqa: ANN202
         proof = key[0]
         g = Graph(pdf["parent_id"].tolist(), [c if isinstance(c, str) else None for c in pdf["child_id"].tolist()])
         ids = g.ids
-        if what == "pairs":
-            rows = [(ids[i], ids[j]) for i in range(len(ids)) for j in sorted(g.descendants(i))]
-            return pd.DataFrame({"proof_id": proof, "node_id": [r[0] for r in rows], "descendant_id": [r[1] for r in rows]}).astype(object)
+        if what == "packed":
+            return pd.DataFrame({"proof_id": [proof], "ids": [ids], "kids": [g.out]})
         cyclic, back = g.depth_first()
         if what == "back":
             return pd.DataFrame({"proof_id": proof, "parent_id": [ids[i] for i, _ in back], "child_id": [ids[j] for _, j in back]}).astype(object)
@@ -188,7 +220,11 @@ def _kernel(what: str):  # noqa: ANN202
                     j = prev[j]
                 paths.append(trail[::-1])
             out["path"] = paths
-            out["n_descendants"] = pd.array([len(g.descendants(i)) for i in range(len(ids))], dtype="int32")
+            n = [0] * len(ids)
+            for first in range(0, len(ids), 4096):
+                for i, r in enumerate(g.reach(first, 4096)):
+                    n[i] += r.bit_count()
+            out["n_descendants"] = pd.array(n, dtype="int32")
             out = out[["proof_id", "node_id", "component_id", "root_id", "hops", "in_cycle", "path", "n_descendants"]]
         return out
 
@@ -360,8 +396,11 @@ def hierarchy_nodes(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataF
 
 
 def descendants(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
-    """All (node, descendant) pairs."""
-    return _whole(links, kernel_links, "pairs", PAIRS)
+    """All (node, descendant) pairs. A component is packed into one row; each block of its nodes, as targets, is a row of work of its own, so
+    that the pairs of a large component come from many tasks and are given out in batches."""
+    packed = _whole(links, kernel_links, "packed", "proof_id string, ids array<string>, kids array<array<int>>")
+    work = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / TARGETS).cast("int"))))
+    return work.repartition(F.xxhash64("proof_id", F.element_at("ids", 1)), "block").mapInPandas(_pairs, PAIRS)
 
 
 def back_edges(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
