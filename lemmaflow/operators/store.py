@@ -7,10 +7,10 @@ results.
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.functions.ids import clean_id, squash_space
+from lemmaflow.functions.ids import clean_id, clean_ids, squash_space
 from lemmaflow.operators.hierarchy import KERNEL_LINKS
 from lemmaflow.session import cut_lineage
 
@@ -114,12 +114,43 @@ def support_sets(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return g
 
 
+def first_and_last(headers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """side ('old', 'new'), proof_id, node_id, node_kind, statement_text, node_depth, child_ids: the nodes of each proof's first and last snapshot; of repeated rows the one delivered last."""
+    at = F.struct("taken_at", "snapshot_id")
+    ends = headers.groupBy("proof_id").agg(F.min_by("snapshot_id", at).alias("a"), F.max_by("snapshot_id", at).alias("z"))
+    ends = ends.select("proof_id", F.inline(F.array(F.struct(F.lit("old").alias("side"), F.col("a").alias("snapshot_id")), F.struct(F.lit("new").alias("side"), F.col("z").alias("snapshot_id")))))
+    ends = ends.join(headers.select("proof_id", "snapshot_id", "delivery_no"), ["proof_id", "snapshot_id"])
+    rows = nodes.select(clean_id("proof_id").alias("proof_id"), clean_id("snapshot_id").alias("snapshot_id"), F.coalesce("delivery_no", F.lit(-1)).alias("delivery_no"), clean_id("node_id").alias("node_id"), "node_kind", "statement_text", "node_depth", clean_ids("child_ids").alias("child_ids"), "delivered_at")
+    cols = ["node_kind", "statement_text", "node_depth", "child_ids"]
+    rows = rows.where("node_id IS NOT NULL").join(ends, ["proof_id", "snapshot_id", "delivery_no"])
+    return cut_lineage(rows.groupBy("side", "proof_id", "node_id").agg(F.max_by(F.struct(*cols), F.struct("delivered_at", *cols)).alias("v")).select("side", "proof_id", "node_id", "v.*"))
+
+
+def _is_leaf() -> Column:
+    return F.col("node_kind").eqNullSafe("leaf")
+
+
+def links_below(nodes: DataFrame) -> DataFrame:
+    """proof_id (the side, '|' and the proof), parent_id, child_id of first_and_last's nodes; nothing lies below a leaf."""
+    n = nodes.where(~_is_leaf()).select(F.concat_ws("|", "side", "proof_id").alias("proof_id"), F.col("node_id").alias("parent_id"), F.explode("child_ids").alias("child_id"))
+    return n.distinct()
+
+
+def comparable(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """side, key, node_id, statement_text, node_depth of first_and_last's nodes: a leaf's key is its id, a parent's are all leaves below it at any depth, also over a cycle. pairs: the descendants by links_below."""
+    n = nodes.select("*", F.concat_ws("|", "side", "proof_id").alias("tree"))
+    as_tree = n.select(F.col("tree").alias("proof_id"), "node_id", F.when(_is_leaf(), "leaf").otherwise("parent").alias("node_kind"))
+    below = support_sets(as_tree, pairs).select(F.col("proof_id").alias("tree"), "node_id", "support")
+    key = F.when(_is_leaf(), F.concat(F.lit("leaf:"), "node_id")).otherwise(F.concat(F.lit("parent:"), F.coalesce("support", F.lit(""))))
+    return n.join(below, ["tree", "node_id"], "left").select("side", F.concat_ws("|", "proof_id", key).alias("key"), "node_id", "statement_text", "node_depth")
+
+
 def tree_diff(a: DataFrame, b: DataFrame) -> DataFrame:
-    """key, place, change_type over (key, node_id, statement_text): nodes of one key are paired by their order; changed means another statement."""
+    """key, place, change_type over (key, node_id, statement_text, node_depth): nodes of one key are paired by their order; changed means another statement or depth."""
     w = Window.partitionBy("key").orderBy("node_id")
-    put = lambda df, s: df.select("key", F.row_number().over(w).alias("place"), squash_space("statement_text").alias(s))
-    j = put(a, "old").withColumn("in_old", F.lit(1)).join(put(b, "new").withColumn("in_new", F.lit(1)), ["key", "place"], "full")
-    change = F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
+    put = lambda df, s: df.select("key", F.row_number().over(w).alias("place"), F.struct(squash_space("statement_text").alias("said"), "node_depth").alias(s))
+    j = put(a, "old").join(put(b, "new"), ["key", "place"], "full")
+    change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").when(~F.col("old").eqNullSafe(F.col("new")), "changed")
     return j.select("key", "place", change.alias("change_type")).where("change_type IS NOT NULL")
 
 

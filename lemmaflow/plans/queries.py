@@ -339,20 +339,11 @@ def support_leaf_sets(spark: SparkSession, d: str) -> DataFrame:
     return store.support_sets(_tree(spark, d), _pairs(spark, d))
 
 
-def _keyed(spark: SparkSession, d: str, last: bool) -> DataFrame:
-    """Nodes of the first or last snapshot of each proof, by proof, kind and leaves directly below."""
-    h = snapshots.latest_headers(table(spark, d, "tree_snapshots"))
-    pick = F.max_by if last else F.min_by
-    h = h.groupBy("proof_id").agg(pick(F.struct("snapshot_id", "delivery_no"), F.struct("taken_at", "snapshot_id")).alias("s")).select("proof_id", "s.*")
-    n = table(spark, d, "snapshot_nodes").select(clean_id("proof_id").alias("proof_id"), clean_id("snapshot_id").alias("snapshot_id"), "delivery_no", clean_id("node_id").alias("node_id"), "node_kind", "statement_text", leaf.id_set("child_ids").alias("kids"))
-    n = n.join(h, ["proof_id", "snapshot_id", "delivery_no"], "left_semi").dropDuplicates(["proof_id", "node_id"])
-    key = F.when(F.col("node_kind") == "leaf", F.concat(F.lit("leaf:"), "node_id")).otherwise(F.concat(F.lit("parent:"), F.array_join(F.filter("kids", lambda x: ~x.startswith("p_")), ",")))
-    return n.select(F.concat_ws("|", "proof_id", key).alias("key"), "node_id", "statement_text")
-
-
 @query
 def tree_diff(spark: SparkSession, d: str) -> DataFrame:
-    return store.tree_diff(_keyed(spark, d, False), _keyed(spark, d, True))
+    n = store.first_and_last(snapshots.latest_headers(table(spark, d, "tree_snapshots")), table(spark, d, "snapshot_nodes"))
+    keyed = store.comparable(n, hierarchy.descendants(store.links_below(n)))
+    return store.tree_diff(keyed.where("side = 'old'"), keyed.where("side = 'new'"))
 
 
 def _samples(spark: SparkSession, d: str) -> DataFrame:
