@@ -108,6 +108,8 @@ CONFIG = Config()
 DOMAIN = tagging.keyword_adapter("domain:kernel", r"(^|\.)Kernel(\.|$)", r"(?i)(?<![A-Za-z0-9_])kernel(?![A-Za-z0-9_])")
 ADAPTERS = {"kernel": DOMAIN, tagging.FALLBACK: tagging.generic}
 SPLIT_TIME = "2025-07-01 00:00:00"
+#: Lines of a job's log, the reference's default.
+LOG_LINES = 400
 
 
 def _leaves(spark: SparkSession, d: str) -> DataFrame:
@@ -436,7 +438,7 @@ def next_queued(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def log_interleave(spark: SparkSession, d: str) -> DataFrame:
-    return store.interleave_logs(table(spark, d, "verification_jobs"), 20)
+    return store.interleave_logs(table(spark, d, "verification_jobs"), LOG_LINES)
 
 
 @query
