@@ -46,11 +46,22 @@ def plan(old: DataFrame, new: DataFrame, edge: DataFrame) -> DataFrame:
     return change.join(stop.select("id", F.lit(True).alias("b")), "id", "left").join(order, "id", "left").select("id", "change_type", F.coalesce("b", F.lit(False)).alias("is_blocked"), "batch", "cyclic")
 
 
+def with_children_said(nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, node_id, child_ids, said (the children's statements, in the same order) of the parents of a node table with the keys of its tree; a parent with a child that isn't there is left out, as nothing is known of what it was built from."""
+    kids = nodes.where("node_kind = 'parent'").select(*keys, "node_id", F.posexplode("child_ids").alias("at", "child_id"), F.size("child_ids").alias("n"))
+    said = nodes.select(*keys, F.col("node_id").alias("child_id"), F.coalesce("statement_text", F.lit("")).alias("said"))
+    whole = kids.join(said, [*keys, "child_id"]).groupBy(*keys, "node_id", "n").agg(F.array_sort(F.collect_list(F.struct("at", "child_id", "said"))).alias("c")).where(F.size("c") == F.col("n"))
+    return whole.select(*keys, "node_id", F.col("c.child_id").alias("child_ids"), F.col("c.said").alias("said"))
+
+
 def reuse(old: DataFrame, new: DataFrame) -> DataFrame:
-    """new_id, old_id, how: parents (node_id, child_ids, said: the children's statements in order) built before, by children ('grounding'), else by a statement signature only one old parent has ('signature')."""
-    sign = lambda df, n: df.select(F.col("node_id").alias(n), F.sha2(F.concat_ws("\x1f", F.concat_ws("\x1e", "child_ids"), F.concat_ws("\x1e", F.transform("said", squash_space))), 256).alias("g"), F.sha2(F.concat_ws("\x1e", F.transform("said", squash_space)), 256).alias("s"))
-    a, b = sign(old, "old_id"), sign(new, "new_id")
-    exact = b.join(a.groupBy("g").agg(F.min("old_id").alias("old_id")), "g").select("new_id", "old_id", F.lit("grounding").alias("how"))
+    """new_id, old_id, how: parents (node_id, child_ids, said: the children's statements, a child's at its place) built before, by children and what they say ('grounding'), else by what they say if the old parents of it
+    are of one grounding ('signature'). The children's order doesn't count; of several old parents of a grounding the one with the smallest id is taken."""
+    said = F.transform("said", squash_space)
+    both = F.array_sort(F.zip_with("child_ids", said, lambda i, s: F.concat(i, F.lit("\x1f"), s)))
+    sign = lambda df, n: df.select(F.col("node_id").alias(n), F.sha2(F.concat_ws("\x1e", both), 256).alias("g"), F.sha2(F.concat_ws("\x1e", F.array_sort(said)), 256).alias("s"))
+    a, b = sign(old, "old_id").groupBy("g", "s").agg(F.min("old_id").alias("old_id")), sign(new, "new_id")
+    exact = b.join(a.select("g", "old_id"), "g").select("new_id", "old_id", F.lit("grounding").alias("how"))
     single = a.groupBy("s").agg(F.count(F.lit(1)).alias("n"), F.min("old_id").alias("old_id")).where("n = 1")
     more = b.join(exact, "new_id", "left_anti").join(single, "s").select("new_id", "old_id", F.lit("signature").alias("how"))
     return exact.unionByName(more)

@@ -114,16 +114,21 @@ def support_sets(tree: DataFrame, pairs: DataFrame) -> DataFrame:
     return g
 
 
+def last_nodes(headers: DataFrame, nodes: DataFrame) -> DataFrame:
+    """proof_id, snapshot_id, node_id, node_kind, statement_text, node_depth, child_ids of the nodes of each snapshot's last delivery; of repeated rows the one delivered last."""
+    rows = nodes.select(clean_id("proof_id").alias("proof_id"), clean_id("snapshot_id").alias("snapshot_id"), F.coalesce("delivery_no", F.lit(-1)).alias("delivery_no"), clean_id("node_id").alias("node_id"), "node_kind", "statement_text", "node_depth", clean_ids("child_ids").alias("child_ids"), "delivered_at")
+    rows = rows.where("node_id IS NOT NULL").join(headers.select("proof_id", "snapshot_id", "delivery_no"), ["proof_id", "snapshot_id", "delivery_no"])
+    cols = ["node_kind", "statement_text", "node_depth", "child_ids"]
+    return rows.groupBy("proof_id", "snapshot_id", "node_id").agg(F.max_by(F.struct(*cols), F.struct("delivered_at", *cols)).alias("v")).select("proof_id", "snapshot_id", "node_id", "v.*")
+
+
 def first_and_last(headers: DataFrame, nodes: DataFrame) -> DataFrame:
-    """side ('old', 'new'), proof_id, node_id, node_kind, statement_text, node_depth, child_ids: the nodes of each proof's first and last snapshot; of repeated rows the one delivered last."""
+    """side ('old', 'new'), proof_id, node_id, node_kind, statement_text, node_depth, child_ids: the nodes of each proof's first and last snapshot, as last_nodes."""
     at = F.struct("taken_at", "snapshot_id")
     ends = headers.groupBy("proof_id").agg(F.min_by("snapshot_id", at).alias("a"), F.max_by("snapshot_id", at).alias("z"))
     ends = ends.select("proof_id", F.inline(F.array(F.struct(F.lit("old").alias("side"), F.col("a").alias("snapshot_id")), F.struct(F.lit("new").alias("side"), F.col("z").alias("snapshot_id")))))
-    ends = ends.join(headers.select("proof_id", "snapshot_id", "delivery_no"), ["proof_id", "snapshot_id"])
-    rows = nodes.select(clean_id("proof_id").alias("proof_id"), clean_id("snapshot_id").alias("snapshot_id"), F.coalesce("delivery_no", F.lit(-1)).alias("delivery_no"), clean_id("node_id").alias("node_id"), "node_kind", "statement_text", "node_depth", clean_ids("child_ids").alias("child_ids"), "delivered_at")
-    cols = ["node_kind", "statement_text", "node_depth", "child_ids"]
-    rows = rows.where("node_id IS NOT NULL").join(ends, ["proof_id", "snapshot_id", "delivery_no"])
-    return cut_lineage(rows.groupBy("side", "proof_id", "node_id").agg(F.max_by(F.struct(*cols), F.struct("delivered_at", *cols)).alias("v")).select("side", "proof_id", "node_id", "v.*"))
+    found = last_nodes(headers.join(ends, ["proof_id", "snapshot_id"], "left_semi"), nodes)
+    return cut_lineage(found.join(ends, ["proof_id", "snapshot_id"]).select("side", "proof_id", "node_id", "node_kind", "statement_text", "node_depth", "child_ids"))
 
 
 def _is_leaf() -> Column:

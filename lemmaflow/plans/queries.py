@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lemmaflow.functions import text
 from lemmaflow.functions.canon import Config
-from lemmaflow.functions.ids import clean_id, clean_ids
+from lemmaflow.functions.ids import clean_id
 from lemmaflow.operators import change, graph, hierarchy, ingest, leaf, logs, nested, orphans, quality, snapshots, store, tagging, trees
 from lemmaflow.sources.tables import table
 
@@ -421,9 +421,10 @@ def change_batches(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def reuse_match(spark: SparkSession, d: str) -> DataFrame:
-    old = _tree(spark, d).where("node_kind = 'parent'").select("node_id", "child_ids", F.array("statement_text").alias("said"))
-    new = table(spark, d, "snapshot_nodes").where("node_kind = 'parent'").select(F.concat_ws("|", "snapshot_id", clean_id("node_id")).alias("node_id"), clean_ids("child_ids").alias("child_ids"), F.array(F.coalesce("statement_text", F.lit(""))).alias("said"))
-    return change.reuse(old, new.dropDuplicates(["node_id"]))
+    old = change.with_children_said(_tree(spark, d), ["proof_id"])
+    last = store.last_nodes(snapshots.latest_headers(table(spark, d, "tree_snapshots")), table(spark, d, "snapshot_nodes"))
+    new = change.with_children_said(last, ["proof_id", "snapshot_id"]).withColumn("node_id", F.concat_ws("|", "snapshot_id", "node_id"))
+    return change.reuse(old, new)
 
 
 @query
