@@ -285,21 +285,38 @@ def contract(edges: DataFrame, block_links: int = 100_000) -> DataFrame:
         now = again
 
 
-def _large_levels(links: DataFrame) -> DataFrame:
-    """proof_id, node_id, root_id, hops by rounds over the frontier."""
+def _large_levels(links: DataFrame, paths: bool) -> DataFrame:
+    """proof_id, node_id, root_id, hops, path (null where no root leads, or without `paths`) by rounds over the frontier; the previous node on a path is the smallest of those with that root."""
     ends = links.select("proof_id", F.explode(F.array("parent_id", "child_id")).alias("node_id")).where("node_id IS NOT NULL").distinct()
-    edge = cut_lineage(links.where("child_id IS NOT NULL"))
+    edge, none = cut_lineage(links.where("child_id IS NOT NULL")), F.lit(None).cast("array<string>")
     kids = edge.select("proof_id", F.col("child_id").alias("node_id")).distinct()
-    front = cut_lineage(ends.join(kids, ["proof_id", "node_id"], "left_anti").select("proof_id", "node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("hops")))
+    front = cut_lineage(ends.join(kids, ["proof_id", "node_id"], "left_anti").select("proof_id", "node_id", F.col("node_id").alias("root_id"), F.lit(0).alias("hops"), (F.array("node_id") if paths else none).alias("path")))
     done, level = front, 0
     while not front.isEmpty():
         level += 1
-        reached = edge.join(front.select("proof_id", F.col("node_id").alias("parent_id"), "root_id"), ["proof_id", "parent_id"]).groupBy("proof_id", F.col("child_id").alias("node_id")).agg(F.min("root_id").alias("root_id"))
-        front = cut_lineage(reached.join(done.select("proof_id", "node_id"), ["proof_id", "node_id"], "left_anti").withColumn("hops", F.lit(level)))
+        up = front.select("proof_id", F.col("node_id").alias("parent_id"), "root_id", "path")
+        reached = edge.join(up, ["proof_id", "parent_id"]).groupBy("proof_id", F.col("child_id").alias("node_id")).agg(F.min(F.struct("root_id", "parent_id", "path")).alias("v"))
+        reached = reached.join(done.select("proof_id", "node_id"), ["proof_id", "node_id"], "left_anti")
+        front = cut_lineage(reached.select("proof_id", "node_id", "v.root_id", F.lit(level).alias("hops"), F.array_append("v.path", F.col("node_id")).alias("path")))
         done = done.unionByName(front)
         if level % 8 == 0:
             done = cut_lineage(done)
-    return ends.join(done, ["proof_id", "node_id"], "left").select("proof_id", "node_id", F.coalesce("root_id", F.lit("")).alias("root_id"), F.coalesce("hops", F.lit(-1)).alias("hops"))
+    return ends.join(done, ["proof_id", "node_id"], "left").select("proof_id", "node_id", F.coalesce("root_id", F.lit("")).alias("root_id"), F.coalesce("hops", F.lit(-1)).alias("hops"), "path")
+
+
+def _large_pairs(links: DataFrame) -> DataFrame:
+    """All (node, descendant) pairs by rounds over those found last; the pairs are held in the checkpoint folder."""
+    edge = cut_lineage(links.where("child_id IS NOT NULL").select("proof_id", "parent_id", "child_id"))
+    front = done = edge.select("proof_id", F.col("parent_id").alias("node_id"), F.col("child_id").alias("descendant_id"))
+    step, n = edge.select("proof_id", F.col("parent_id").alias("descendant_id"), F.col("child_id").alias("next_id")), 0
+    while not front.isEmpty():
+        n += 1
+        further = front.join(step, ["proof_id", "descendant_id"]).select("proof_id", "node_id", F.col("next_id").alias("descendant_id")).distinct()
+        front = cut_lineage(further.join(done, ["proof_id", "node_id", "descendant_id"], "left_anti"))
+        done = done.unionByName(front)
+        if n % 8 == 0:
+            done = cut_lineage(done)
+    return done
 
 
 def _large_cycles(links: DataFrame, kernel_links: int) -> DataFrame:
@@ -369,7 +386,14 @@ def _placed(links: DataFrame, kernel_links: int) -> tuple[DataFrame, DataFrame |
     if giant.isEmpty():
         return cold.unionByName(many), None
     fit = many.join(giant, ["proof_id", "component"], "left_anti")
-    return cold.unionByName(fit), many.join(giant, ["proof_id", "component"], "left_semi").drop("component")
+    return cold.unionByName(fit), many.join(giant, ["proof_id", "component"], "left_semi")
+
+
+def _large(giant: DataFrame, kernel_links: int, paths: bool) -> DataFrame:
+    """proof_id, node_id, root_id, hops, path, in_cycle of the links of large components."""
+    links = cut_lineage(giant.select("proof_id", "parent_id", "child_id"))
+    cycles = _large_cycles(links, kernel_links).withColumn("in_cycle", F.lit(1))
+    return _large_levels(links, paths).join(cycles, ["proof_id", "node_id"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(0)))
 
 
 def hierarchy(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
@@ -378,31 +402,35 @@ def hierarchy(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     out = fit.groupBy("proof_id", "component").applyInPandas(_kernel("found"), FOUND)
     if giant is None:
         return out
-    cycles = _large_cycles(giant, kernel_links).withColumn("in_cycle", F.lit(1))
-    rest = _large_levels(giant).join(cycles, ["proof_id", "node_id"], "left").withColumn("in_cycle", F.coalesce("in_cycle", F.lit(0)))
-    return out.unionByName(rest.select(*out.columns))
-
-
-def _whole(links: DataFrame, kernel_links: int, what: str, schema: str) -> DataFrame:
-    fit, giant = _placed(links, kernel_links)
-    if giant is not None:
-        raise ValueError(f"a component has more than {kernel_links} links; its {what} would be a closure of that size squared: use hierarchy(), or raise kernel_links")
-    return fit.groupBy("proof_id", "component").applyInPandas(_kernel(what), schema)
+    return out.unionByName(_large(giant, kernel_links, False).select(*out.columns))
 
 
 def hierarchy_nodes(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """As `hierarchy`, with the component, the path from the root and the number of descendants."""
-    return _whole(links, kernel_links, "nodes", NODES)
+    fit, giant = _placed(links, kernel_links)
+    out = fit.groupBy("proof_id", "component").applyInPandas(_kernel("nodes"), NODES)
+    if giant is None:
+        return out
+    giant = cut_lineage(giant)
+    ends = giant.select("proof_id", F.col("component").alias("component_id"), F.explode(F.array("parent_id", "child_id")).alias("node_id")).where("node_id IS NOT NULL").distinct()
+    below = _large_pairs(giant).groupBy("proof_id", "node_id").agg(F.count(F.lit(1)).cast("int").alias("n_descendants"))
+    rest = _large(giant, kernel_links, True).join(ends, ["proof_id", "node_id"]).join(below, ["proof_id", "node_id"], "left").withColumn("n_descendants", F.coalesce("n_descendants", F.lit(0)))
+    return out.unionByName(rest.select(*out.columns))
 
 
 def descendants(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """All (node, descendant) pairs. A component is packed into one row; each block of its nodes, as targets, is a row of work of its own, so
-    that the pairs of a large component come from many tasks and are given out in batches."""
-    packed = _whole(links, kernel_links, "packed", "proof_id string, ids array<string>, kids array<array<int>>")
+    that the pairs of a large component come from many tasks and are given out in batches. Components over `kernel_links` go through rounds."""
+    fit, giant = _placed(links, kernel_links)
+    packed = fit.groupBy("proof_id", "component").applyInPandas(_kernel("packed"), "proof_id string, ids array<string>, kids array<array<int>>")
     work = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / TARGETS).cast("int"))))
-    return work.repartition(F.xxhash64("proof_id", F.element_at("ids", 1)), "block").mapInPandas(_pairs, PAIRS)
+    out = work.repartition(F.xxhash64("proof_id", F.element_at("ids", 1)), "block").mapInPandas(_pairs, PAIRS)
+    return out if giant is None else out.unionByName(_large_pairs(giant))
 
 
 def back_edges(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
-    """The links that close a cycle, as met by the walk."""
-    return _whole(links, kernel_links, "back", BACK)
+    """The links that close a cycle, as met by the walk. The walk is one after another by nature, so a component over `kernel_links` is refused."""
+    fit, giant = _placed(links, kernel_links)
+    if giant is not None:
+        raise ValueError(f"a component has more than {kernel_links} links; a walk in order needs it whole: raise kernel_links")
+    return fit.groupBy("proof_id", "component").applyInPandas(_kernel("back"), BACK)
