@@ -1,10 +1,10 @@
 """Parent-child links to full hierarchies: roots, hops, paths, descendants and cycles.
 
-Links are grouped into connected components, each component is co-located, and one kernel call walks it with an
-iterative depth-first traversal that colours nodes (open, closed); a link to an open node is a back edge and closes a
-cycle. Groups of up to `kernel_links` links are sized for one task. A group beyond that is first split into its
-components by distributed label contraction; a single component that is larger still is worked on by set-parallel
-rounds (`_large_*`), which give the same rows without gathering it anywhere.
+Connected components are found by union-find in blocks of links whose labels are contracted until none changes. Each component is
+co-located, and one kernel call walks it with an iterative depth-first traversal that colours nodes (open, closed); a link to an
+open node is a back edge and closes a cycle. The order in which the walk closes nodes gives roots, hops and paths (relaxed
+from the top, level by level only inside a cycle) and descendants (collected from the bottom). A component of more than `kernel_links` links doesn't fit one task and is worked on by
+set-parallel rounds (`_large_*`), which give the same rows without gathering it anywhere.
 
 Defined results: null or blank ids make no link and no node, rows with a null or blank proof_id none either; repeated
 links count once; a link from a node to itself is a cycle; a node that no root leads to has root_id '' and hops -1;
@@ -13,12 +13,14 @@ empty tables give an empty result; other columns of the tables are not looked at
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lemmaflow.functions.groups import by_group, salted
 from lemmaflow.functions.ids import clean_id, clean_ids
 from lemmaflow.session import cut_lineage
 
@@ -75,26 +77,33 @@ class Graph:
         return label
 
     def levels(self) -> tuple[list[int], list[int], list[int]]:
-        """hops, root and previous node on the path (the smallest of those with that root) of each node; -1 where no root leads there."""
+        """hops, root and previous node on the path (the smallest of those with that root) of each node; -1 where no root leads there. depth_first() goes before.
+
+        The walk's components are taken from the top down, so that all that leads to one is settled before it; only inside a cycle nodes are settled by rising hops."""
         n = len(self.ids)
-        hops, root, back = [-1] * n, [-1] * n, [-1] * n
-        level = [i for i in range(n) if not self.parents[i]]
-        for i in level:
-            hops[i], root[i] = 0, i
-        at = 0
-        while level:
-            at += 1
-            reached: dict[int, tuple[int, int]] = {}
-            for i in level:
+        best: list[tuple[int, int, int] | None] = [None if self.parents[i] else (0, i, -1) for i in range(n)]
+        for members in reversed(self.sinks_first):
+            if len(members) > 1:
+                inside = set(members)
+                queue = [(*best[i], i) for i in members if best[i] is not None]
+                heapq.heapify(queue)
+                while queue:
+                    h, r, b, i = heapq.heappop(queue)
+                    if best[i] != (h, r, b):
+                        continue
+                    for j in self.out[i]:
+                        if j in inside and (best[j] is None or (h + 1, r, i) < best[j]):
+                            best[j] = (h + 1, r, i)
+                            heapq.heappush(queue, (h + 1, r, i, j))
+            for i in members:
+                if best[i] is None:
+                    continue
+                h, r, _ = best[i]
                 for j in self.out[i]:
-                    if hops[j] < 0:
-                        best = reached.get(j)
-                        if best is None or (root[i], i) < best:
-                            reached[j] = (root[i], i)
-            for j, (r, i) in reached.items():
-                hops[j], root[j], back[j] = at, r, i
-            level = list(reached)
-        return hops, root, back
+                    if (best[j] is None or (h + 1, r, i) < best[j]) and (len(members) == 1 or j not in inside) and j != i:
+                        best[j] = (h + 1, r, i)
+        none = (-1, -1, -1)
+        return tuple([(x or none)[k] for x in best] for k in range(3))
 
     def strong(self) -> list[int]:
         """The smallest node of each node's strongly connected component."""
@@ -170,65 +179,47 @@ class Graph:
         return bits
 
 
-def _pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The pairs of rows that hold a packed graph and a block of targets, given out in bounded batches."""
-    for pdf in parts:
-        for row in pdf.itertuples():
-            g = Graph([], [])
-            g.ids, g.out, first = list(row.ids), [x.tolist() for x in row.kids], int(row.block) * TARGETS
-            g.parents = [[] for _ in g.ids]
-            for i, js in enumerate(g.out):
-                for j in js:
-                    g.parents[j].append(i)
-            g.depth_first()
-            held: tuple[list[str], list[str]] = ([], [])
-            for i, r in enumerate(g.reach(first, TARGETS)):
-                while r:
-                    low = r & -r
-                    held[0].append(g.ids[i])
-                    held[1].append(g.ids[first + low.bit_length() - 1])
-                    r ^= low
-                if len(held[0]) >= 50_000:
-                    yield pd.DataFrame({"proof_id": row.proof_id, "node_id": held[0], "descendant_id": held[1]})
-                    held = ([], [])
-            if held[0]:
-                yield pd.DataFrame({"proof_id": row.proof_id, "node_id": held[0], "descendant_id": held[1]})
-
-
-def _kernel(what: str):  # noqa: ANN202
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        proof = key[0]
-        g = Graph(pdf["parent_id"].tolist(), [c if isinstance(c, str) else None for c in pdf["child_id"].tolist()])
-        ids = g.ids
-        if what == "packed":
-            return pd.DataFrame({"proof_id": [proof], "ids": [ids], "kids": [g.out]})
-        cyclic, back = g.depth_first()
-        if what == "back":
-            return pd.DataFrame({"proof_id": proof, "parent_id": [ids[i] for i, _ in back], "child_id": [ids[j] for _, j in back]}).astype(object)
-        hops, root, prev = g.levels()
-        out = pd.DataFrame({"proof_id": proof, "node_id": ids, "root_id": [ids[r] if r >= 0 else "" for r in root], "hops": pd.array(hops, dtype="int32"), "in_cycle": pd.array([int(c) for c in cyclic], dtype="int32")})
-        if what == "nodes":
-            out["component_id"] = [ids[c] for c in g.components()]
-            paths: list[list[str] | None] = []
-            for i in range(len(ids)):
-                if hops[i] < 0:
-                    paths.append(None)
-                    continue
-                trail, j = [], i
-                while j >= 0:
-                    trail.append(ids[j])
-                    j = prev[j]
-                paths.append(trail[::-1])
-            out["path"] = paths
-            n = [0] * len(ids)
-            for first in range(0, len(ids), 4096):
-                for i, r in enumerate(g.reach(first, 4096)):
-                    n[i] += r.bit_count()
-            out["n_descendants"] = pd.array(n, dtype="int32")
-            out = out[["proof_id", "node_id", "component_id", "root_id", "hops", "in_cycle", "path", "n_descendants"]]
-        return out
+def _walked(cols: dict[str, list]) -> tuple[Graph, list[bool], list[tuple[int, int]]]:
+    g = Graph(cols["parent_id"], [c if isinstance(c, str) else None for c in cols["child_id"]])
+    return g, *g.depth_first()
+
+
+def _found(key: tuple, cols: dict[str, list]) -> Iterator[tuple]:
+    g, cyclic, _ = _walked(cols)
+    for i, h, r, c in zip(g.ids, *g.levels()[:2], cyclic):
+        yield key[0], i, g.ids[r] if r >= 0 else "", h, int(c)
 
-    return run
+
+def _nodes(key: tuple, cols: dict[str, list]) -> Iterator[tuple]:
+    g, cyclic, _ = _walked(cols)
+    hops, root, prev = g.levels()
+    n = [0] * len(g.ids)
+    for first in range(0, len(g.ids), 4096):
+        for i, r in enumerate(g.reach(first, 4096)):
+            n[i] += r.bit_count()
+    for i, x in enumerate(g.ids):
+        trail, j = [], i
+        while hops[i] >= 0 and j >= 0:
+            trail.append(g.ids[j])
+            j = prev[j]
+        yield key[0], x, g.ids[0], g.ids[root[i]] if root[i] >= 0 else "", hops[i], int(cyclic[i]), trail[::-1] if trail else None, n[i]
+
+
+def _pairs(key: tuple, cols: dict[str, list]) -> Iterator[tuple]:
+    """Descendants from the bottom up, a block of targets at a time, so that what is held is one bit a node and target of the block."""
+    g, _, _ = _walked(cols)
+    for first in range(0, len(g.ids), TARGETS):
+        for i, r in enumerate(g.reach(first, TARGETS)):
+            while r:
+                low = r & -r
+                yield key[0], g.ids[i], g.ids[first + low.bit_length() - 1]
+                r ^= low
+
+
+def _back(key: tuple, cols: dict[str, list]) -> Iterator[tuple]:
+    g, _, back = _walked(cols)
+    for i, j in back:
+        yield key[0], g.ids[i], g.ids[j]
 
 
 def contract(edges: DataFrame, block_links: int = 100_000) -> DataFrame:
@@ -264,21 +255,21 @@ def contract(edges: DataFrame, block_links: int = 100_000) -> DataFrame:
 
     labels = None
     now = cut_lineage(now)
+    cores = edges.sparkSession.sparkContext.defaultParallelism
     while True:
         blocks = -(-now.count() // block_links) or 1
-        spread = now.repartition(blocks, "key", F.xxhash64("a"))
+        # a key's links stay together where they fit one block, so that small keys are done after one round
+        spread = salted(now, ["key"], "a", block_links).repartition(max(blocks, cores), "key", "salt").select("key", "a", "b")
         pairs = cut_lineage(spread.mapInPandas(block, schema).distinct())
         # every node keeps the smallest label given to it; its other labels are joined to that one in the next round
         least = pairs.groupBy("key", "node").agg(F.min("label").alias("label"), F.max("label").alias("most"))
         again = pairs.join(least.where("label <> most").drop("most").withColumnRenamed("label", "least"), ["key", "node"]).where("label <> least").select("key", F.col("label").alias("a"), F.col("least").alias("b")).distinct()
-        joined = cut_lineage(least.drop("most"))
+        joined = least.drop("most")
         if labels is None:
-            labels = joined
+            labels = cut_lineage(joined)
         else:
             step = joined.select("key", F.col("node").alias("label"), F.col("label").alias("to"))
             labels = cut_lineage(labels.join(step, ["key", "label"], "left").select("key", "node", F.coalesce("to", "label").alias("label")))
-        if blocks == 1:  # one block has seen all links
-            return labels
         again = cut_lineage(again)
         if again.isEmpty():
             return labels
@@ -352,7 +343,7 @@ def _large_cycles(links: DataFrame, kernel_links: int) -> DataFrame:
         inner = cut_lineage(edge.join(a, ["proof_id", "parent_id"]).join(b, ["proof_id", "child_id"]).where("from_colour = to_colour").select("proof_id", F.col("from_colour").alias("colour"), "parent_id", "child_id"))
         sizes = inner.groupBy("proof_id", "colour").count()
         small = inner.join(sizes.where(F.col("count") <= kernel_links).drop("count"), ["proof_id", "colour"])
-        marked = small.groupBy("proof_id", "colour").applyInPandas(_kernel("found"), FOUND).where("in_cycle = 1").select("proof_id", "node_id")
+        marked = by_group(small, ["proof_id", "colour"], ["parent_id", "child_id"], _found, FOUND).where("in_cycle = 1").select("proof_id", "node_id")
         big = inner.join(sizes.where(F.col("count") > kernel_links).drop("count"), ["proof_id", "colour"])
         # of a large colour, the nodes that lead back to the node of that name form one strongly connected set
         reach = cut_lineage(big.where("child_id = colour").select("proof_id", "colour", F.col("parent_id").alias("node_id")).distinct())
@@ -371,22 +362,16 @@ def _large_cycles(links: DataFrame, kernel_links: int) -> DataFrame:
 
 
 def _placed(links: DataFrame, kernel_links: int) -> tuple[DataFrame, DataFrame | None]:
-    """The links with the group of each, all of kernel size, and the links of components that are larger (None if there are none)."""
-    sizes = links.groupBy("proof_id").agg(F.count(F.lit(1)).alias("n"))
-    hot = cut_lineage(sizes.where(F.col("n") > kernel_links).select("proof_id"))
-    if hot.isEmpty():
-        return links.withColumn("component", F.lit("")), None
-    cold = links.join(hot, "proof_id", "left_anti").withColumn("component", F.lit(""))
-    many = cut_lineage(links.join(hot, "proof_id", "left_semi"))
-    label = contract(many.select(F.col("proof_id").alias("key"), F.col("parent_id").alias("a"), F.coalesce("child_id", "parent_id").alias("b")))
+    """The links with their component, all of kernel size, and the links of components that are larger (None if there are none)."""
+    links = cut_lineage(links)
+    label = contract(links.select(F.col("proof_id").alias("key"), F.col("parent_id").alias("a"), F.coalesce("child_id", "parent_id").alias("b")))
     label = label.select(F.col("key").alias("proof_id"), F.col("node").alias("parent_id"), F.col("label").alias("component"))
-    many = cut_lineage(many.join(label, ["proof_id", "parent_id"], "left").withColumn("component", F.coalesce("component", "parent_id")))
-    size = many.groupBy("proof_id", "component").agg(F.count(F.lit(1)).alias("n"))
+    placed = cut_lineage(links.join(label, ["proof_id", "parent_id"], "left").withColumn("component", F.coalesce("component", "parent_id")))
+    size = placed.groupBy("proof_id", "component").agg(F.count(F.lit(1)).alias("n"))
     giant = cut_lineage(size.where(F.col("n") > kernel_links).drop("n"))
     if giant.isEmpty():
-        return cold.unionByName(many), None
-    fit = many.join(giant, ["proof_id", "component"], "left_anti")
-    return cold.unionByName(fit), many.join(giant, ["proof_id", "component"], "left_semi")
+        return placed, None
+    return placed.join(giant, ["proof_id", "component"], "left_anti"), placed.join(giant, ["proof_id", "component"], "left_semi")
 
 
 def _large(giant: DataFrame, kernel_links: int, paths: bool) -> DataFrame:
@@ -399,7 +384,7 @@ def _large(giant: DataFrame, kernel_links: int, paths: bool) -> DataFrame:
 def hierarchy(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """proof_id, node_id, root_id, hops, in_cycle of every node."""
     fit, giant = _placed(links, kernel_links)
-    out = fit.groupBy("proof_id", "component").applyInPandas(_kernel("found"), FOUND)
+    out = by_group(fit, ["proof_id", "component"], ["parent_id", "child_id"], _found, FOUND)
     if giant is None:
         return out
     return out.unionByName(_large(giant, kernel_links, False).select(*out.columns))
@@ -408,7 +393,7 @@ def hierarchy(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
 def hierarchy_nodes(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     """As `hierarchy`, with the component, the path from the root and the number of descendants."""
     fit, giant = _placed(links, kernel_links)
-    out = fit.groupBy("proof_id", "component").applyInPandas(_kernel("nodes"), NODES)
+    out = by_group(fit, ["proof_id", "component"], ["parent_id", "child_id"], _nodes, NODES)
     if giant is None:
         return out
     giant = cut_lineage(giant)
@@ -419,12 +404,9 @@ def hierarchy_nodes(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataF
 
 
 def descendants(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
-    """All (node, descendant) pairs. A component is packed into one row; each block of its nodes, as targets, is a row of work of its own, so
-    that the pairs of a large component come from many tasks and are given out in batches. Components over `kernel_links` go through rounds."""
+    """All (node, descendant) pairs, given out in batches a component. Components over `kernel_links` go through rounds."""
     fit, giant = _placed(links, kernel_links)
-    packed = fit.groupBy("proof_id", "component").applyInPandas(_kernel("packed"), "proof_id string, ids array<string>, kids array<array<int>>")
-    work = packed.withColumn("block", F.explode(F.sequence(F.lit(0), F.floor((F.size("ids") - 1) / TARGETS).cast("int"))))
-    out = work.repartition(F.xxhash64("proof_id", F.element_at("ids", 1)), "block").mapInPandas(_pairs, PAIRS)
+    out = by_group(fit, ["proof_id", "component"], ["parent_id", "child_id"], _pairs, PAIRS)
     return out if giant is None else out.unionByName(_large_pairs(giant))
 
 
@@ -433,4 +415,4 @@ def back_edges(links: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
     fit, giant = _placed(links, kernel_links)
     if giant is not None:
         raise ValueError(f"a component has more than {kernel_links} links; a walk in order needs it whole: raise kernel_links")
-    return fit.groupBy("proof_id", "component").applyInPandas(_kernel("back"), BACK)
+    return by_group(fit, ["proof_id", "component"], ["parent_id", "child_id"], _back, BACK)

@@ -66,6 +66,11 @@ def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
     return hierarchy.descendants(_links(spark, d))
 
 
+@query
+def p2_back_edges(spark: SparkSession, d: str) -> DataFrame:
+    return hierarchy.back_edges(_links(spark, d))
+
+
 @query
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return snapshots.snapshot_changes(table(spark, d, "tree_snapshots"), table(spark, d, "snapshot_nodes"))
