@@ -40,48 +40,50 @@ def lifespans(declarations: DataFrame) -> DataFrame:
     return rows.groupBy("ref_key", "island").agg(F.min("since").alias("since"), F.max("until").alias("until")).drop("island")
 
 
-def direct_orphans(refs: DataFrame, declarations: DataFrame, symbols: DataFrame) -> DataFrame:
-    """The references that point nowhere at their time, with the reason (missing, late, deleted) and the month."""
+def labelled(refs: DataFrame, declarations: DataFrame, symbols: DataFrame) -> DataFrame:
+    """ref_table, src_key, ref_key, period, reason (missing, late, deleted; null where the reference leads somewhere at its time) of the distinct references."""
     spans = lifespans(declarations)
-    known = declarations.select(clean_id("declaration_id").alias("ref_key"), "indexed_at").where("ref_key IS NOT NULL").groupBy("ref_key").agg(F.min("indexed_at").alias("first"), F.lit(True).alias("known"))
-    outside = refs.join(symbols.select(clean_id("symbol_id").alias("ref_key")).where("ref_key IS NOT NULL").distinct(), "ref_key", "left_anti")
-    r, s = outside.alias("r"), spans.alias("s")
+    known = spans.groupBy("ref_key").agg(F.min("since").alias("first"))
+    there = declarations.select(clean_id("declaration_id").alias("ref_key")).where("ref_key IS NOT NULL").distinct().join(known, "ref_key", "left").withColumn("known", F.lit(True))
+    shared = symbols.select(clean_id("symbol_id").alias("ref_key")).where("ref_key IS NOT NULL").distinct().withColumn("shared", F.lit(True))
+    r, s = refs.join(shared, "ref_key", "left").alias("r"), spans.alias("s")
     # at most one span holds the time, so a hot key isn't multiplied; the next join uses the same distribution
-    gone = r.join(s, (F.col("r.ref_key") == F.col("s.ref_key")) & (F.col("s.since") <= F.col("r.at")) & (F.col("r.at") < F.col("s.until")), "left_anti")
-    reason = F.when(F.col("known").isNull(), "missing").when((F.col("first") > F.col("at")) | F.col("first").isNull(), "late").otherwise("deleted")
-    return gone.join(known, "ref_key", "left").select("ref_table", "src_key", "ref_key", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("period"), reason.alias("reason"), "at")
+    held = r.join(s, (F.col("r.ref_key") == F.col("s.ref_key")) & (F.col("s.since") <= F.col("r.at")) & (F.col("r.at") < F.col("s.until")), "left").select("r.*", F.col("s.since").alias("held"))
+    j = held.join(there, "ref_key", "left")
+    reason = F.when(F.col("shared") | F.col("held").isNotNull(), None).when(F.col("known").isNull(), "missing").when((F.col("first") > F.col("at")) | F.col("first").isNull(), "late").otherwise("deleted")
+    return j.select("ref_table", "src_key", "ref_key", F.coalesce(F.date_format("at", "yyyy-MM"), F.lit("")).alias("period"), reason.alias("reason")).distinct()
 
 
-def found(orphans: DataFrame) -> DataFrame:
-    """The direct orphans as cases."""
-    return orphans.select(*FOUND).distinct()
-
-
-def cascade(refs: DataFrame, orphans: DataFrame, max_rounds: int = 10_000) -> DataFrame:
-    """ref_table, src_key, ref_key, period, kind ('direct' or 'inherited'), round.
+def cascade(references: DataFrame) -> DataFrame:
+    """ref_table, src_key, ref_key, period, reason, kind ('direct' or 'inherited'), round, over labelled references.
 
     A declaration with a direct orphan among its references is orphaned in round 0; references to a declaration
-    orphaned in round n are inherited in round n + 1, unless they are direct already.
+    orphaned in round n are inherited in round n + 1, unless they are direct already. Rounds go on until one finds nothing new.
     """
-    direct = cut_lineage(orphans.select("ref_table", "src_key", "ref_key", "period").distinct())
-    period = F.coalesce(F.date_format("at", "yyyy-MM"), F.lit(""))
-    rows = cut_lineage(refs.select("ref_table", "src_key", "ref_key", period.alias("period")).distinct().join(direct, ["ref_table", "src_key", "ref_key", "period"], "left_anti"))
-    inner = rows.where("ref_table = 'lean_declarations'").select("src_key", "ref_key").distinct()
-    front = direct.where("ref_table = 'lean_declarations' AND src_key <> ''").select(F.col("src_key").alias("ref_key")).distinct().withColumn("round", F.lit(0))
-    seen = front = cut_lineage(front)
-    for n in range(1, max_rounds + 1):
-        if front.isEmpty():
-            break
-        up = inner.join(front.select("ref_key"), "ref_key", "left_semi").select(F.col("src_key").alias("ref_key")).where("ref_key <> ''").distinct()
+    rows = cut_lineage(references)
+    whole = rows.groupBy("ref_table", "src_key", "ref_key", "period").agg(F.max("reason").alias("reason")).where("reason IS NULL")
+    inner = cut_lineage(whole.where("ref_table = 'lean_declarations' AND src_key <> ''").select("src_key", "ref_key").distinct())
+    front = rows.where("reason IS NOT NULL AND ref_table = 'lean_declarations' AND src_key <> ''").select(F.col("src_key").alias("ref_key")).distinct()
+    seen = front = cut_lineage(front.withColumn("round", F.lit(0)))
+    n = 0
+    while not front.isEmpty():
+        n += 1
+        up = inner.join(front.select("ref_key"), "ref_key", "left_semi").select(F.col("src_key").alias("ref_key")).distinct()
         front = cut_lineage(up.join(seen, "ref_key", "left_anti").withColumn("round", F.lit(n)))
         seen = seen.unionByName(front)
         if n % 10 == 0:
             seen = cut_lineage(seen)
-    inherited = rows.join(seen, "ref_key").select("ref_table", "src_key", "ref_key", "period", F.lit("inherited").alias("kind"), (F.col("round") + 1).alias("round"))
-    return direct.withColumn("kind", F.lit("direct")).withColumn("round", F.lit(0)).unionByName(inherited)
+    direct = rows.where("reason IS NOT NULL").select("ref_table", "src_key", "ref_key", "period", "reason", F.lit("direct").alias("kind"), F.lit(0).alias("round"))
+    inherited = whole.drop("reason").join(seen, "ref_key").select("ref_table", "src_key", "ref_key", "period", F.lit(None).cast("string").alias("reason"), F.lit("inherited").alias("kind"), (F.col("round") + 1).alias("round"))
+    return direct.unionByName(inherited)
+
+
+def found(cascaded: DataFrame) -> DataFrame:
+    """The direct orphans as cases."""
+    return cascaded.where("kind = 'direct'").select(*FOUND)
 
 
 def report(cascaded: DataFrame) -> DataFrame:
-    """Direct and inherited orphan references a table and month."""
+    """Direct and inherited orphan references a table and month; a reference that is orphaned for several reasons in a month is one."""
     kind = lambda k: F.count(F.when(F.col("kind") == k, 1))
-    return cascaded.groupBy("ref_table", "period").agg(kind("direct").alias("direct"), kind("inherited").alias("inherited"), F.max("round").alias("deepest_round"))
+    return cascaded.drop("reason").distinct().groupBy("ref_table", "period").agg(kind("direct").alias("direct"), kind("inherited").alias("inherited"), F.max("round").alias("deepest_round"))

@@ -91,20 +91,20 @@ def p4_entries(spark: SparkSession, d: str) -> DataFrame:
     return logs.entries(logs.placed_lines(table(spark, d, "verification_jobs")))
 
 
-def _references(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _orphans(spark: SparkSession, d: str) -> DataFrame:
     decls = table(spark, d, "lean_declarations")
     refs = orphans.references(decls, table(spark, d, "missing_dependency_refs"), table(spark, d, "tree_provenance"))
-    return refs, orphans.direct_orphans(refs, decls, table(spark, d, "shared_symbols"))
+    return orphans.cascade(orphans.labelled(refs, decls, table(spark, d, "shared_symbols")))
 
 
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.found(_references(spark, d)[1])
+    return orphans.found(_orphans(spark, d))
 
 
 @query
 def p5_report(spark: SparkSession, d: str) -> DataFrame:
-    return orphans.report(orphans.cascade(*_references(spark, d)))
+    return orphans.report(_orphans(spark, d))
 
 
 # The operators on declarations, graphs, trees and jobs.

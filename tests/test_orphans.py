@@ -14,14 +14,21 @@ def test_reasons_periods_and_cascade(spark, rows):
     prov = spark.createDataFrame([("n", "top", T(7), ""), ("n", "b", T(2, 3), ""), ("n", "b", None, "")], PROV)
     symbols = spark.createDataFrame([("sym ",), (None,)], "symbol_id string")
     refs = orphans.references(decls, miss, prov)
-    direct = orphans.direct_orphans(refs, decls, symbols)
-    assert rows(orphans.found(direct)) == sorted([
+    c = orphans.cascade(orphans.labelled(refs, decls, symbols))
+    assert rows(orphans.found(c)) == sorted([
         ("lean_declarations", "a", "nowhere", "2025-03", "missing"), ("lean_declarations", "b", "late", "2025-01", "late"), ("missing_dependency_refs", "a", "b", "2025-04", "deleted"),
         ("missing_dependency_refs", "", "a", "2025-01", "late"), ("tree_provenance", "n", "b", "2025-02", "deleted"), ("tree_provenance", "n", "b", "", "deleted"),
     ], key=repr)
-    c = orphans.cascade(refs, direct)
     inherited = {(r.src_key, r.ref_key, r.round) for r in c.where("kind = 'inherited'").collect()}
     assert inherited == {("a", "b", 1), ("up", "a", 1), ("top", "up", 2), ("n", "top", 3)}
     assert orphans.report(c).count() == 8
-    assert rows(orphans.found(orphans.direct_orphans(refs.limit(0), decls, symbols))) == []
-    assert orphans.direct_orphans(refs, decls.limit(0), symbols).where("reason <> 'missing'").count() == 0
+    assert rows(orphans.cascade(orphans.labelled(refs.limit(0), decls, symbols))) == []
+    assert orphans.labelled(refs, decls.limit(0), symbols).where("reason <> 'missing'").count() == 0
+
+
+def test_a_long_chain_is_followed_to_its_end(spark):
+    n = 60
+    decls = spark.createDataFrame([(f"d{i:03}", [f"d{i - 1:03}" if i else "nowhere"], T(1), None, "") for i in range(n)], DECL)
+    refs = orphans.references(decls, spark.createDataFrame([], MISS), spark.createDataFrame([], PROV))
+    c = orphans.cascade(orphans.labelled(refs, decls, spark.createDataFrame([], "symbol_id string")))
+    assert c.count() == n and c.agg({"round": "max"}).first()[0] == n - 1
