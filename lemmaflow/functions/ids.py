@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 #: Every character that counts as white space, for Java's and Python's regular expressions alike.
 _CODES = (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 SPACE = r"\s" + "".join(map(chr, _CODES))
-_EDGES = f"^[{SPACE}]+|[{SPACE}]+$"
+_CHARACTERS = " \t\n\x0b\f\r" + "".join(map(chr, _CODES))
 
 
 def strip_space(c: Column | str) -> Column:
     """Without leading and trailing white space of any kind; null stays null."""
-    return F.regexp_replace(F.col(c) if isinstance(c, str) else c, _EDGES, "")
+    return F.btrim(F.col(c) if isinstance(c, str) else c, F.lit(_CHARACTERS))
 
 
 def clean_id(c: Column | str) -> Column:

@@ -15,6 +15,24 @@ def test_changes_between_neighbours(spark, rows):
     ]
     got = rows(snapshots.snapshot_changes(spark.createDataFrame(heads, H), spark.createDataFrame(nodes, N)))
     assert got == sorted([("p", "s1", "s2", "leaf", "b", "added"), ("p", "s1", "s2", "node", "c", "changed"), ("p", "s1", "s2", "node", "gone", "removed"), ("p", "s1", "s2", "node", "new", "added"), ("p", "s2", "s3", "node", "b", "removed"), ("p", "s2", "s3", "node", "c", "removed"), ("p", "s2", "s3", "node", "new", "removed")], key=repr)
-    for fanout, depth in ((2, 1), (4, 3)):  # the tree's shape doesn't matter
-        assert rows(snapshots.snapshot_changes(spark.createDataFrame(heads, H), spark.createDataFrame(nodes, N), fanout, depth)) == got
+    for fanout_bits, bottom in ((1, 1), (2, 2), (3, 1)):  # the tree's shape doesn't matter
+        assert rows(snapshots.snapshot_changes(spark.createDataFrame(heads, H), spark.createDataFrame(nodes, N), fanout_bits, bottom)) == got
     assert rows(snapshots.snapshot_changes(spark.createDataFrame([], H), spark.createDataFrame([], N))) == []
+
+
+def test_few_changes_in_a_large_snapshot_open_few_ranges(spark, rows):
+    """100,000 nodes, 10 of them changed: the records below the differing ranges are a small part."""
+    from pyspark.sql import functions as F
+
+    n = 100_000
+    heads = spark.createDataFrame([("p", "s1", 1, None, T(2025, 1, 1), 0), ("p", "s2", 1, None, T(2025, 1, 2), 0)], H)
+    base = spark.range(n).select(F.lit("p").alias("proof_id"), F.lit(1).alias("delivery_no"), F.concat(F.lit("n"), F.col("id").cast("string")).alias("node_id"), F.lit("leaf").alias("node_kind"), F.lit(0).alias("node_depth"), F.array().cast("array<string>").alias("child_ids"), F.array().cast("array<string>").alias("evidence_refs"), F.lit(1.0).alias("complexity_score"), F.col("id"))
+    nodes = base.select("*", F.lit("s1").alias("snapshot_id"), F.lit("x").alias("statement_text")).unionByName(base.select("*", F.lit("s2").alias("snapshot_id"), F.when(F.col("id") % 10_000 == 7, "y").otherwise("x").alias("statement_text")))
+    got = rows(snapshots.snapshot_changes(heads, nodes))
+    assert got == sorted([("p", "s1", "s2", "node", f"n{i * 10_000 + 7}", "changed") for i in range(10)], key=repr)
+    headers = snapshots.numbered(snapshots.latest_headers(heads))
+    records = snapshots.node_records(headers, nodes).withColumn("h", F.xxhash64("record_id"))
+    digests = snapshots.bottom_digests(records, 3, 16)
+    ranges = snapshots.differing_ranges(digests, headers, 3)
+    opened = digests.join(ranges.select("bucket"), "bucket", "left_semi").agg(F.sum("n")).first()[0]
+    assert ranges.count() <= 10 and opened < n / 100
