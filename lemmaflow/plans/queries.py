@@ -22,28 +22,34 @@ def query(f: Query) -> Query:
     return f
 
 
-def _nested(spark: SparkSession, d: str) -> dict[str, DataFrame]:
-    return nested.flatten_all(table(spark, d, "tree_nodes"), table(spark, d, "verification_jobs"), table(spark, d, "lean_declarations"))
-
-
 @query
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    return nested.found(_nested(spark, d))
+    return nested.found(table(spark, d, "tree_nodes"), table(spark, d, "verification_jobs"), table(spark, d, "lean_declarations"))
 
 
 @query
 def p1_violations(spark: SparkSession, d: str) -> DataFrame:
-    return _nested(spark, d)["violations"]
+    return nested.flatten_diagnostics(table(spark, d, "tree_nodes"))["violations"]
+
+
+@query
+def p1_rewrites(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_diagnostics(table(spark, d, "tree_nodes"))["rewrites"]
+
+
+@query
+def p1_diagnostics(spark: SparkSession, d: str) -> DataFrame:
+    return nested.flatten_diagnostics(table(spark, d, "tree_nodes"))["diagnostics"]
 
 
 @query
 def p1_log_lines(spark: SparkSession, d: str) -> DataFrame:
-    return _nested(spark, d)["log_lines"]
+    return nested.flatten_logs(table(spark, d, "verification_jobs"))
 
 
 @query
 def p1_warnings(spark: SparkSession, d: str) -> DataFrame:
-    return _nested(spark, d)["warnings"]
+    return nested.flatten_warnings(table(spark, d, "lean_declarations"))
 
 
 def _links(spark: SparkSession, d: str) -> DataFrame:

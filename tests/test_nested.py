@@ -34,5 +34,14 @@ def test_places_of_lines_and_warnings(spark, rows):
     jobs = spark.createDataFrame([("j1 ", [(3, "stdout", "x"), None, (1, None, None)], 9), ("j1", [(3, "stdout", "x"), None, (1, None, None)], 9), ("j2", None, 9), ("j3", [], 9), (None, [(1, "a", "b")], 9)], JOBS)
     decls = spark.createDataFrame([("d", ([("c", None, {"k": "v"}), None, ("e", "m", None)],), "w"), ("n", None, "w")], DECLS)
     nodes = spark.createDataFrame([], NODES)
-    got = rows(nested.found(nested.flatten_all(nodes, jobs, decls)))
+    got = rows(nested.found(nodes, jobs, decls))
     assert got == [("lean_declarations", "d", "warnings", "0"), ("lean_declarations", "d", "warnings", "2"), ("verification_jobs", "j1", "logs", "0"), ("verification_jobs", "j1", "logs", "2")]
+
+
+def test_any_number_of_layers_is_taken_off(spark):
+    text = json.dumps({"preSummary": {"violations": {"code": "a", "message": "back\\slash \"quoted\""}}})
+    for k in range(7):
+        text = json.dumps(json.dumps({"policyDiagnostics": json.loads(text)} if k % 2 else json.loads(text)))
+    data = [("deep", text, None, None)]
+    got = nested.flatten_diagnostics(spark.createDataFrame(data, NODES))["violations"].collect()
+    assert [(r.owner_key, r.ordinals, r.code, r.message) for r in got] == [("deep", "0", "a", 'back\\slash "quoted"')]
