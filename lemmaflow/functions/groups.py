@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lemmaflow.session import cut_lineage
+
 
 def by_group(df: DataFrame, keys: list[str], order: list[str | Column], kernel: Callable[[tuple, dict[str, list]], Iterator[tuple]], schema: str, rows: int = 20_000) -> DataFrame:
     """kernel(key, the group's columns as lists, in order) gives tuples of the schema. Groups follow each other within a sorted partition, so that
@@ -52,6 +54,17 @@ def by_group(df: DataFrame, keys: list[str], order: list[str | Column], kernel:
     return placed.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
 
 
+def ranked(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """df with the place of each row in the order of all, from 0: ranges are sorted apart, and each range's places begin after the rows of the ranges before it, so no task sees all rows."""
+    rows = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    rows = cut_lineage(rows)
+    part = F.shiftright("_at", 33)
+    size = rows.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
+    before = size.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))  # one row a range
+    out = rows.withColumn("_part", part).join(F.broadcast(before), "_part")
+    return out.withColumn(name, F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_at", "_part", "_before")
+
+
 def salted(df: DataFrame, keys: list[str], by: str, rows: int) -> DataFrame:
     """df with `salt`: groups of more than `rows` rows are split by the hash of column `by`."""
     size = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias("salts")).where("salts > 1")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -107,29 +107,36 @@ def fnv1a(text: str | None) -> int:
 
 
 def fnv1a_column(c: Column | str) -> Column:
-    @F.pandas_udf("long")
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(fnv1a)
+    """fnv1a of a text column without Python: a fold over its code units (of two bytes, big end first)."""
+    x = F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
-    return run(c)
+    def fold(hexes: Column) -> Column:
+        n = (F.length(hexes) / 4).cast("int")
+        unit = lambda i: F.conv(F.substring(hexes, i * 4 + 1, F.lit(4)), 16, 10).cast("long")
+        step = lambda h, i: F.pmod(h.bitwiseXOR(unit(i)) * F.lit(0x01000193), F.lit(1 << 32))
+        return F.when(n == 0, F.lit(0x811C9DC5).cast("long")).otherwise(F.aggregate(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), F.lit(0x811C9DC5).cast("long"), step))
 
+    return let(F.hex(F.encode(x, "UTF-16BE")), fold)
 
-def first_json_object(text: str | None) -> str | None:
-    """The first balanced object of a reply: in a code fence if there is one, else by a scan that respects strings."""
-    import re
 
-    if not text:
+_FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
+_BRACES = re.compile(r'"(?:[^"\\]|\\.)*(?:"|$)|[{}]', re.S)
+
+
+def first_json_object(text: str | None) -> str | None:
+    """What a reply holds as JSON: the content of its first code fence, else its first balanced object (braces in strings don't count), else the whole, trimmed; null stays null. Nothing is parsed here."""
+    if text is None:
         return None
-    fence = re.search(r"```(?:json)?\s*(\{.*?\})\s*```", text, re.S)
-    for source in ([fence.group(1)] if fence else []) + [text]:
-        at = source.find("{")
-        while at >= 0:
-            try:
-                _, end = json.JSONDecoder().raw_decode(source, at)
-                return source[at:end]
-            except ValueError:
-                at = source.find("{", at + 1)
-    return None
+    whole = text.strip()
+    fence = _FENCE.search(whole)
+    if fence:
+        return fence.group(1).strip()
+    start, depth = whole.find("{"), 0
+    for m in _BRACES.finditer(whole, start) if start >= 0 else ():
+        depth += {"{": 1, "}": -1}.get(m.group(), 0)
+        if depth == 0 and m.group() == "}":
+            return whole[start : m.end()]
+    return whole
 
 
 def json_object_column(c: Column | str) -> Column:
@@ -140,12 +147,20 @@ def json_object_column(c: Column | str) -> Column:
     return run(c)
 
 
-SUMMARY = "struct<parent_statement:string,why_true_from_children:string,new_terms_introduced:array<string>,complexity_score:double,abstraction_score:double,evidence_refs:array<string>,confidence:double>"
-
-
 def parent_summary(c: Column) -> Column:
-    """The summary in a JSON object; missing texts are '', missing lists empty, missing numbers null; texts are trimmed."""
-    s = F.from_json(c, SUMMARY)
-    text = lambda n: F.coalesce(strip_space(s[n]), F.lit(""))
-    items = lambda n: F.coalesce(F.transform(s[n], strip_space), F.array().cast("array<string>"))
-    return F.struct(text("parent_statement").alias("parent_statement"), text("why_true_from_children").alias("why_true_from_children"), items("new_terms_introduced").alias("new_terms_introduced"), items("evidence_refs").alias("evidence_refs"), *(s[n].alias(n) for n in ("complexity_score", "abstraction_score", "confidence")))
+    """The summary in a JSON text, null where it is no object: members as texts however they are written and trimmed, '' where missing; lists without blanks, empty where they are no list;
+    numbers also from texts, NaN where there is none (and 0 for null and '', as numbers are made of these)."""
+    v = F.try_parse_json(c)
+    get = lambda n: F.try_variant_get(v, f"$.{n}", "variant")
+    said = lambda x: F.try_variant_get(x, "$", "string")
+    text = lambda n: F.coalesce(strip_space(said(get(n))), F.lit(""))
+    listed = lambda n: F.filter(F.transform(F.coalesce(F.try_variant_get(get(n), "$", "array<variant>"), F.array().cast("array<variant>")), lambda x: F.coalesce(strip_space(said(x)), F.lit("null"))), lambda x: x != "")
+
+    def number(n: str) -> Column:
+        t = strip_space(said(get(n)))
+        nan = F.lit(float("nan"))
+        return F.when(get(n).isNull(), nan).when(t.isNull() | (t == ""), F.lit(0.0)).when(t == "true", F.lit(1.0)).when(t == "false", F.lit(0.0)).when(t.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), t.cast("double")).otherwise(nan)
+
+    members = [text("parent_statement").alias("parent_statement"), text("why_true_from_children").alias("why_true_from_children"), listed("new_terms_introduced").alias("new_terms_introduced"), listed("evidence_refs").alias("evidence_refs")]
+    members += [number(n).alias(n) for n in ("complexity_score", "abstraction_score", "confidence")]
+    return F.when(F.try_variant_get(v, "$", "map<string,variant>").isNotNull(), F.struct(*members))

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lemmaflow.functions.canon import ordered_hash
+from lemmaflow.functions.groups import ranked
 from lemmaflow.functions.ids import clean_id
 from lemmaflow.operators.hierarchy import KERNEL_LINKS, Graph, contract
 from lemmaflow.session import cut_lineage
@@ -54,11 +55,13 @@ def closure(edge: DataFrame, starts: DataFrame | None = None, within: DataFrame
     edge = cut_lineage(edge.distinct())
     front = edge if starts is None else edge.join(starts, "src", "left_semi")
     front = cut_lineage(front.where("src <> dst"))
-    seen = front
+    seen, n = front, 0
     while not front.isEmpty():
         step = front.select("src", F.col("dst").alias("via")).join(edge.withColumnRenamed("src", "via"), "via").select("src", "dst").where("src <> dst").distinct()
         front = cut_lineage(step.join(seen, ["src", "dst"], "left_anti"))
-        seen = cut_lineage(seen.unionByName(front))
+        seen, n = seen.unionByName(front), n + 1
+        if n % 10 == 0:  # rounds are appended; what is known is written anew only now and then
+            seen = cut_lineage(seen)
     return seen
 
 
@@ -208,14 +211,49 @@ def fingerprint(node: DataFrame, edge: DataFrame) -> DataFrame:
     return part.agg(ordered_hash(F.col("h"), F.col("p")).alias("graph_hash"))
 
 
-def view_of(root: str, node: DataFrame, edge: DataFrame, scc: DataFrame) -> dict[str, object]:
-    """One declaration's dependencies, dependents, support size and cycle; 'declaration_not_found' if it isn't there."""
-    if node.where(F.col("id") == root).isEmpty():
-        return {"diagnostic": "declaration_not_found"}
-    one = edge.where(F.col("src") == root)
-    mine = scc.join(scc.where(F.col("id") == root).select("scc"), "scc", "left_semi").orderBy("id")
-    members = [r["id"] for r in mine.limit(1001).collect()]
-    return {"dependencies": one.orderBy("dst"), "dependents": edge.where(F.col("dst") == root).orderBy("src"), "support": closure(edge, one.select("src").distinct()), "scc": members, "in_cycle": len(members) > 1 or not one.where("src = dst").isEmpty()}
+def canonical_lines(node: DataFrame, edge: DataFrame, miss: DataFrame, scc: DataFrame) -> DataFrame:
+    """part, line: the graph's canonical text - counts, nodes with their sorted edges both ways, all strongly connected components and those with a cycle, numbered by their members; hashed by canon.group_hash."""
+    sorted_ids = lambda df, k, v, n: df.groupBy(F.col(k).alias("id")).agg(F.array_join(F.array_sort(F.collect_set(v)), ",").alias(n))
+    rows = node.join(sorted_ids(edge, "src", "dst", "out"), "id", "left").join(sorted_ids(edge, "dst", "src", "into"), "id", "left")
+    none = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    line = F.concat_ws("|", F.concat(F.lit("node="), "id"), F.concat(F.lit("category="), "category"), F.concat(F.lit("deps="), none("out")), F.concat(F.lit("dependents="), none("into")))
+    names = {"nodes": "node_count", "edges": "edge_count", "indexed": "indexed_count", "external": "external_count", "missing_refs": "missing_count"}
+    head = totals(node, edge, miss).select(F.posexplode(F.array(F.lit("schema=1.0.0"), *(F.concat(F.lit(f"{n}="), F.col(c).cast("string")) for n, c in names.items()))).alias("i", "line"))
+    part = lambda k, at, o: F.struct(F.lit(k).alias("k"), at.cast("long").alias("at"), o.alias("o")).alias("part")
+    alone = node.join(scc, "id", "left").select("id", F.coalesce("scc", "id").alias("scc"))
+    loops = edge.where("src = dst").select(F.col("src").alias("id")).distinct().withColumn("has_loop", F.lit(True))
+    g = alone.join(loops, "id", "left").groupBy("scc").agg(F.array_sort(F.collect_list("id")).alias("members"), F.max(F.coalesce("has_loop", F.lit(False))).alias("has_loop"))
+    out = head.select(part(0, F.col("i"), F.lit("")), "line").unionByName(rows.select(part(1, F.lit(0), F.col("id")), line.alias("line")))
+    for k, name, df in ((2, "scc", g), (3, "cyclic_scc", g.where("size(members) > 1 OR has_loop"))):
+        r = ranked(df.select(F.array_join("members", "\x00").alias("m"), F.array_join("members", ",").alias("t")), ["m"])
+        out = out.unionByName(r.select(part(k, F.col("rank"), F.lit("")), F.concat(F.lit(f"{name}["), F.col("rank").cast("string"), F.lit("]="), "t").alias("line")))
+    return out
+
+
+def checked(declarations: DataFrame) -> DataFrame:
+    """The declarations (leaf_id, dependency_ids), or an error if there is none, or an id is blank or there twice."""
+    bad = declarations.groupBy(clean_id("leaf_id").alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").first()
+    if bad is not None:
+        raise ValueError("a declaration id is blank" if bad["id"] is None else f"duplicate declaration id '{bad['id']}'")
+    if declarations.isEmpty():
+        raise ValueError("no declarations")
+    return declarations
+
+
+def lookups(asked: DataFrame, node: DataFrame, edge: DataFrame, scc: DataFrame) -> DataFrame:
+    """asked, kind (dependency, dependent, support, cycle, declaration_not_found), id: what is known of each asked declaration (id); its support without itself, its component where it is in a cycle. All as rows, however many."""
+    q = cut_lineage(asked.select(F.col("id").alias("asked")).distinct())
+    there = q.join(node.select(F.col("id").alias("asked")), "asked", "left_semi")
+    gone = q.join(there, "asked", "left_anti").select("asked", F.lit("declaration_not_found").alias("kind"), F.col("asked").alias("id"))
+    out = there.join(edge.select(F.col("src").alias("asked"), F.col("dst").alias("id")).distinct(), "asked").select("asked", F.lit("dependency").alias("kind"), "id")
+    into = there.join(edge.select(F.col("dst").alias("asked"), F.col("src").alias("id")).distinct(), "asked").select("asked", F.lit("dependent").alias("kind"), "id")
+    support = closure(edge, there.select(F.col("asked").alias("src"))).select(F.col("src").alias("asked"), F.lit("support").alias("kind"), F.col("dst").alias("id"))
+    mine = there.join(scc.select(F.col("id").alias("asked"), "scc"), "asked")
+    cycle = mine.join(scc, "scc").select("asked", "id")
+    loops = edge.where("src = dst").select(F.col("src").alias("asked")).distinct()
+    real = cycle.where("asked <> id").select("asked").distinct().unionByName(loops).distinct()
+    cycle = cycle.join(real, "asked", "left_semi").select("asked", F.lit("cycle").alias("kind"), "id")
+    return gone.unionByName(out).unionByName(into).unionByName(support).unionByName(cycle)
 
 
 def indexed(declarations: DataFrame) -> DataFrame:

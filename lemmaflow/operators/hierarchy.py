@@ -45,6 +45,12 @@ def links_of(tree_edges: DataFrame, tree_nodes: DataFrame) -> DataFrame:
     return edges.unionByName(own).where("proof_id IS NOT NULL").distinct()
 
 
+def links_of_tree(tree: DataFrame) -> DataFrame:
+    """The links of a tree table (proof_id, node_id, child_ids), as links_of."""
+    rows = tree.select("proof_id", F.col("node_id").alias("parent_id"), F.explode(F.array_append("child_ids", F.lit(None).cast("string"))).alias("child_id"))
+    return rows.distinct()
+
+
 class Graph:
     """One group of links as integers; ids are sorted, so a smaller number is a smaller id."""
 

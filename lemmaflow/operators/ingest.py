@@ -9,14 +9,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lemmaflow.functions.ids import squash_space
+from lemmaflow.functions.canon import json_text
+from lemmaflow.functions.columns import let
+from lemmaflow.functions.ids import squash_space, strip_space
+from lemmaflow.operators import tagging
 
 # The language's names, keywords and what isn't parsed.
-NAME = r"(?:«[^»]+»|[A-Za-z_][A-Za-z0-9_']*(?:\.[A-Za-z_][A-Za-z0-9_']*)*)"
+PLAIN_NAME = r"[A-Za-z_][A-Za-z0-9_']*(?:\.[A-Za-z_][A-Za-z0-9_']*)*"
+NAME = rf"(?:«[^»]+»|{PLAIN_NAME})"
 KEYWORDS = "theorem|lemma|def|abbrev|axiom|inductive|structure|instance|example"
 MODIFIERS = "private|protected|noncomputable|partial|unsafe"
 DECLARATION = rf"^\s*(?:@[\w.]+\s+)?(?:(?:{MODIFIERS})\s+)*({KEYWORDS})\s+({NAME})(?=\s|:|\(|\{{|\[|$)"
-UNSUPPORTED = ["mutual", "opaque", "macro_rules", "elab"]
+UNSUPPORTED = {
+    "mutual": "mutual declarations are not yet expanded by the ingestion parser.",
+    "opaque": "opaque declarations are not currently indexed.",
+    "macro_rules": "macro_rules are not declaration-level proof artifacts.",
+    "elab": "elab declarations are not currently indexed.",
+}
+FALLBACK_MESSAGE = "Unable to extract a non-empty statement; using declaration heading fallback."
 SKIPPED_FOLDERS = [".git", "node_modules", ".lake", "dist", "build"]
 ENDS = [":=", "\nwhere", " where", "\nby", " by"]
 
@@ -40,11 +50,26 @@ def source_lines(sources: DataFrame) -> DataFrame:
     return sources.select("file_path", F.posexplode(F.split(clean, "\n")).alias("at", "text")).select("file_path", (F.col("at") + 1).alias("line"), "text")
 
 
+def canonical_path(root: str, path: Column) -> Column:
+    """The path below root with '.' and '..' resolved; one that leaves the root stays as it is, with forward slashes."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    base = "/" + root.strip("/")
+    full = F.when(plain.startswith("/"), plain).otherwise(F.concat(F.lit(base + "/"), plain))
+    step = lambda done, x: F.when((x == "") | (x == "."), done).when(x == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))).otherwise(F.array_append(done, x))
+    clean = F.concat(F.lit("/"), F.array_join(F.aggregate(F.split(full, "/"), F.array().cast("array<string>"), step), "/"))
+    return let(clean, lambda c: F.when(c.startswith(base.rstrip("/") + "/"), F.substring(c, F.lit(len(base.rstrip("/")) + 2), F.length(c))).otherwise(plain))
+
+
 def statement_of(block: Column) -> Column:
-    """The block without its heading, up to where the proof begins, on one line."""
-    body = F.regexp_replace(block, rf"^\s*(?:@[\w.]+\s+)?(?:(?:{MODIFIERS})\s+)*(?:{KEYWORDS})\s+(?:[A-Za-z_][A-Za-z0-9_'.]*)?", "")
-    cut = F.regexp_extract(body, r"(?s)^(.*?)(?::=|\s(?:where|by)\b|$)", 1)
-    return squash_space(F.regexp_replace(cut, r"^\s*:\s*", ""))
+    """The block without its heading, up to where the proof begins, on one line. A name in guillemets keeps its heading, as the heading is known by the plain name."""
+    heading = rf"^\s*(?:@[\w.]+\s+)?(?:(?:{MODIFIERS})\s+)*(?:{KEYWORDS})\s+{PLAIN_NAME}\s*"
+    first, rest = F.substring_index(block, "\n", 1), F.when(F.instr(block, "\n") > 0, F.expr("substring(body, instr(body, '\n'))")).otherwise("")
+
+    def cut(text: Column) -> Column:
+        end = F.least(*(F.nullif(F.instr(text, d), F.lit(0)) for d in ENDS))
+        return squash_space(F.when(end.isNull(), text).otherwise(F.substring(text, F.lit(1), end - 1)))
+
+    return let(F.concat(F.regexp_replace(first, heading, ""), rest), cut)
 
 
 def declarations(sources: DataFrame) -> DataFrame:
@@ -66,14 +91,29 @@ def declarations(sources: DataFrame) -> DataFrame:
 
 
 def warnings(sources: DataFrame, found: DataFrame) -> DataFrame:
-    """code, file_path, line, message: unsupported constructs, fallbacks and duplicates."""
-    out = None
-    for word in UNSUPPORTED:
-        part = source_lines(sources).where(F.col("text").rlike(rf"^\s*{word}(?![A-Za-z0-9_])")).select(F.lit("unsupported_construct").alias("code"), "file_path", "line", F.lit(word).alias("message"))
-        out = part if out is None else out.unionByName(part)
-    more = found.where("fallback").select(F.lit("parse_fallback").alias("code"), "file_path", F.col("start_line").alias("line"), F.col("declaration_id").alias("message"))
-    again = found.where("copy > 1").select(F.lit("duplicate_declaration").alias("code"), "file_path", F.col("start_line").alias("line"), F.col("declaration_id").alias("message"))
-    return out.unionByName(more).unionByName(again)
+    """code, message, file_path, line, column, snippet: unsupported constructs, fallbacks and duplicates."""
+    lines = source_lines(sources)
+    words = F.array(*(F.when(F.col("text").rlike(rf"^\s*{w}(?![A-Za-z0-9_])"), F.lit(m)) for w, m in UNSUPPORTED.items()))
+    first = F.length("text") - F.length(F.regexp_replace("text", r"^\s+", "")) + 1
+    odd = lines.select("file_path", "line", first.alias("column"), strip_space("text").alias("snippet"), F.explode(F.filter(words, lambda x: x.isNotNull())).alias("message"))
+    odd = odd.select(F.lit("unsupported_construct").alias("code"), "message", "file_path", "line", "column", "snippet")
+    here = lambda df, code, message, snippet: df.select(F.lit(code).alias("code"), message.alias("message"), "file_path", F.col("start_line").alias("line"), F.lit(1).alias("column"), snippet.alias("snippet"))
+    more = here(found.where("fallback"), "parse_fallback", F.lit(FALLBACK_MESSAGE), strip_space(F.substring_index("body", "\n", 1)))
+    again = here(found.where("copy > 1"), "duplicate_declaration", F.format_string("Duplicate declaration id '%s' found.", "declaration_id"), F.col("declaration_name"))
+    return odd.unionByName(more).unionByName(again)
+
+
+def in_order(warning: DataFrame) -> DataFrame:
+    """Warnings by file, line, column and code."""
+    return warning.orderBy("file_path", "line", "column", "code")
+
+
+def refuse_unsupported(warning: DataFrame) -> DataFrame:
+    """Strict mode: the warnings, or an error with the number of unsupported constructs if there are any."""
+    n = warning.where("code = 'unsupported_construct'").count()
+    if n:
+        raise ValueError(f"{n} unsupported constructs")
+    return warning
 
 
 def symbol_links(texts: DataFrame, symbols: DataFrame) -> DataFrame:
@@ -84,16 +124,53 @@ def symbol_links(texts: DataFrame, symbols: DataFrame) -> DataFrame:
     return words.join(full.unionByName(short).distinct(), "word").where("src <> dst").select("src", "dst").distinct()
 
 
-def ingest(sources: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(declarations, links, warnings) of source texts (file_path, content)."""
+def ingest(sources: DataFrame, adapters: dict[str, tagging.Adapter] | None = None, overrides: DataFrame | None = None, strict: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(declarations, links, warnings) of source texts (file_path, content). With adapters, declarations get tags and their classification, and its warnings are added."""
     found = declarations(sources)
     kept = found.where("copy = 1")
     links = symbol_links(kept.select(F.col("declaration_id").alias("src"), "body"), kept.select(F.col("declaration_id").alias("id"), F.col("declaration_name").alias("name")))
-    return kept.drop("copy", "body"), links, warnings(sources, found)
-
-
-def source_url(base: Column, path: Column, span: Column) -> Column:
-    """base / percent-encoded path segments # the span."""
-    enc = lambda s: F.regexp_replace(F.regexp_replace(F.url_encode(s), r"\+", "%20"), "%7E", "~")
-    parts = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), enc)
-    return F.concat(F.regexp_replace(base, "/+$", ""), F.lit("/"), F.array_join(parts, "/"), F.format_string("#L%dC%d-L%dC%d", span["start_line"], span["start_column"], span["end_line"], span["end_column"]))
+    warn = warnings(sources, found)
+    kept = kept.drop("copy")
+    if adapters:
+        rows = kept.select(F.col("declaration_id").alias("leaf_id"), "module_path", "declaration_name", "theorem_kind", "statement_text", F.col("statement_text").alias("pretty_statement"))
+        decided = tagging.classify(rows, adapters, overrides=overrides).withColumnRenamed("leaf_id", "declaration_id")
+        kept = kept.join(decided, "declaration_id")
+        said = kept.select("file_path", F.col("start_line").alias("line"), F.col("declaration_name").alias("snippet"), F.explode("warnings").alias("w"))
+        more = said.select(F.lit("domain_classification").alias("code"), F.format_string("[%s] %s", "w.code", "w.message").alias("message"), "file_path", "line", F.lit(1).alias("column"), "snippet")
+        warn = warn.unionByName(more)
+        kept = kept.drop("warnings")
+    return kept.drop("body"), links, refuse_unsupported(warn) if strict else warn
+
+
+def canonical_lines(found: DataFrame, links: DataFrame, warning: DataFrame) -> DataFrame:
+    """part, line: the canonical text of an ingestion, its root left out; hashed by canon.group_hash."""
+    deps = links.groupBy(F.col("src").alias("declaration_id")).agg(F.array_join(F.array_sort(F.collect_set("dst")), ",").alias("deps"))
+    span = F.format_string("%s:%d:1-%d:%d", "file_path", "start_line", "end_line", "end_column")
+    field = lambda n, c: F.concat(F.lit(f"{n}="), F.coalesce(c, F.lit("")))
+    record = F.concat_ws("|", *(field(n, c) for n, c in [
+        ("record", F.col("declaration_id")), ("module", F.col("module_path")), ("name", F.col("declaration_name")), ("kind", F.col("theorem_kind")), ("span", span), ("deps", F.col("deps")), ("tags", F.array_join("tags", ",")),
+        ("domain_adapter", F.col("adapter_id")), ("domain_confidence", F.format_string("%.4f", "confidence")), ("domain_downgraded_from", F.col("downgraded_from")), ("hash", F.col("source_text_hash")),
+    ]))
+    warned = F.concat_ws("|", *(field(n, c) for n, c in [("warning", F.col("code")), ("file", F.col("file_path")), ("line", F.col("line").cast("string")), ("column", F.col("column").cast("string")), ("message", json_text(F.col("message")))]))
+    place = lambda k, *c: F.struct(F.lit(k).alias("k"), *(x.alias(f"o{i}") for i, x in enumerate(c)))
+    none, zero = F.lit(""), F.lit(0)
+    head = found.agg(F.count(F.lit(1)).alias("n")).crossJoin(warning.agg(F.count(F.lit(1)).alias("m"))).select(F.explode(F.array(F.struct(F.lit(0).alias("i"), F.lit("schema=1.0.0").alias("t")), F.struct(F.lit(1).alias("i"), F.lit("project_root=<redacted>").alias("t")), F.struct(F.lit(2).alias("i"), F.format_string("records=%d", "n").alias("t")), F.struct(F.lit(3).alias("i"), F.format_string("warnings=%d", "m").alias("t")))).alias("h"))
+    out = head.select(place(0, none, F.col("h.i"), zero, none).alias("part"), F.col("h.t").alias("line"))
+    out = out.unionByName(found.join(deps, "declaration_id", "left").select(place(1, F.col("declaration_id"), zero, zero, none).alias("part"), record.alias("line")))
+    return out.unionByName(warning.select(place(2, F.col("file_path"), F.col("line"), F.col("column"), F.col("code")).alias("part"), warned.alias("line")))
+
+
+def source_url(base: Column, path: Column, span: Column, keep_empty: bool = True) -> Column:
+    """base / percent-encoded path segments # the span; empty segments are kept as sources are linked, or left out as leaves are."""
+    raw = {"+": "%20", "%21": "!", "%27": "'", "%28": "(", "%29": ")", "%7E": "~"}
+
+    def enc(s: Column) -> Column:
+        out = F.url_encode(s)
+        for a, b in raw.items():
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    parts = F.split(F.replace(path, F.lit("\\"), F.lit("/")), "/")
+    joined = F.array_join(F.transform(parts if keep_empty else F.filter(parts, lambda x: x != ""), enc), "/")
+    anchor = F.format_string("#L%dC%d-L%dC%d", span["start_line"], span["start_column"], span["end_line"], span["end_column"])
+    return F.concat(F.regexp_replace(base, "/+$", ""), F.when(F.lit(keep_empty) | (joined != ""), F.concat(F.lit("/"), joined)).otherwise(F.lit("")), anchor)

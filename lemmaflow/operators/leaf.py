@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lemmaflow.functions.ids import clean_id, clean_ids
+from lemmaflow.functions.canon import json_text
+from lemmaflow.functions.ids import SPACE, clean_id, clean_ids, strip_space
+from lemmaflow.operators.ingest import source_url
 
 SCHEMA_VERSION = "1.0.0"
 #: Kinds of declarations.
@@ -36,7 +38,7 @@ def leaves(declarations: DataFrame) -> DataFrame:
     kind = F.lower(clean_id("theorem_kind"))
     rows = declarations.select(
         clean_id("declaration_id").alias("given_id"),
-        F.coalesce(clean_id("module_path"), F.lit("")).alias("module_path"),
+        F.regexp_replace(F.coalesce(clean_id("module_path"), F.lit("")), f"[{SPACE}]+", " ").alias("module_path"),
         F.coalesce(clean_id("declaration_name"), F.lit("")).alias("declaration_name"),
         F.when(kind.isin(*KINDS), kind).otherwise("unknown").alias("theorem_kind"),
         F.coalesce(clean_id("statement_text"), F.lit("")).alias("statement_text"),
@@ -54,36 +56,61 @@ def leaves(declarations: DataFrame) -> DataFrame:
 
 
 def problems(leaf: DataFrame) -> DataFrame:
-    """leaf_id, path, message: one row a broken rule."""
+    """leaf_id, path, message: one row a broken rule. leaf: leaf-shaped rows as they are, before or after clean-up; a null list element or a blank one breaks its list's rule."""
     s = F.col("source_span")
-    rules = {
-        ("module_path", "must not be blank"): F.col("module_path") == "",
-        ("declaration_name", "must not be blank"): F.col("declaration_name") == "",
-        ("statement_text", "must not be blank"): F.col("statement_text") == "",
-        ("source_span", "is missing"): s.isNull(),
-        ("source_span.start_line", "must be positive"): s["start_line"] < 1,
-        ("source_span.end_line", "must not lie before start_line"): s["end_line"] < s["start_line"],
-        ("source_span.end_column", "must not lie before start_column"): (s["end_line"] == s["start_line"]) & (s["end_column"] < s["start_column"]),
-    }
-    found = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("path"), F.lit(m).alias("message"))) for (p, m), c in rules.items())), lambda x: x.isNotNull())
+    blank = lambda c: F.coalesce(strip_space(c) == "", F.lit(True))
+    listed = lambda c: F.col(c).isNull() | F.exists(c, lambda x: F.coalesce(strip_space(x) == "", F.lit(True)))
+    rules = [("schemaVersion", "schemaVersion is required.", blank(F.col("schema_version"))), ("id", "id is required.", blank(F.col("leaf_id")))]
+    rules += [(n, f"{n} is required.", blank(F.col(c))) for n, c in (("modulePath", "module_path"), ("declarationName", "declaration_name"), ("statementText", "statement_text"), ("prettyStatement", "pretty_statement"))]
+    rules += [("theoremKind", "Unsupported theorem kind.", ~F.coalesce(F.col("theorem_kind").isin(*KINDS), F.lit(False)))]
+    rules += [(n, f"{n} must be an array of non-empty strings.", listed(c)) for n, c in (("tags", "tags"), ("dependencyIds", "dependency_ids"))]
+    rules += [("sourceSpan.filePath", "filePath is required.", blank(s["file_path"]))]
+    rules += [(f"sourceSpan.{n}", "must be a positive integer.", F.coalesce(s[c] <= 0, F.lit(True))) for n, c in (("startLine", "start_line"), ("startColumn", "start_column"), ("endLine", "end_line"), ("endColumn", "end_column"))]
+    rules += [("sourceSpan.endLine", "endLine must be >= startLine.", s["end_line"] < s["start_line"]), ("sourceSpan.endColumn", "endColumn must be >= startColumn when startLine=endLine.", (s["end_line"] == s["start_line"]) & (s["end_column"] < s["start_column"]))]
+    found = F.filter(F.array(*(F.when(c, F.struct(F.lit(p).alias("path"), F.lit(m).alias("message"))) for p, m, c in rules)), lambda x: x.isNotNull())
     return leaf.select("leaf_id", F.inline(found))
 
 
+def as_delivered(declarations: DataFrame) -> DataFrame:
+    """The columns that problems() looks at, as they were delivered."""
+    return declarations.select("schema_version", F.col("declaration_id").alias("leaf_id"), "module_path", "declaration_name", "theorem_kind", "statement_text", "pretty_statement", "source_span", "tags", "dependency_ids")
+
+
 def migrated(old: DataFrame) -> DataFrame:
-    """Rows of the flat older layout (any of module/module_path, name/declaration_name, ...) in the present one."""
+    """Rows of the older flat layout, or of both mixed, in the present one: each row takes the first of a field's names that it fills."""
     have = set(old.columns)
-    pick = lambda *names: F.coalesce(*[clean_id(n) for n in names if n in have], F.lit("")) if have & set(names) else F.lit("")
-    number = lambda n, d: F.coalesce(F.col(n).cast("int"), F.lit(d)) if n in have else F.lit(d)
-    span = F.struct(pick("file_path", "file").alias("file_path"), number("start_line", 1).alias("start_line"), number("start_column", 1).alias("start_column"), number("end_line", 1).alias("end_line"), number("end_column", 1).alias("end_column"))
-    deps = next((n for n in ("dependency_ids", "deps") if n in have), None)
+    pick = lambda *names: F.coalesce(*[clean_id(n) for n in names if n in have], F.lit(""))
+    inner = lambda n: F.col(f"source_span.{n}") if "source_span" in have else F.lit(None)
+    number = lambda n: F.coalesce(inner(n).cast("int"), F.col(n).cast("int") if n in have else F.lit(None).cast("int"))
+    path = F.coalesce(clean_id(inner("file_path").cast("string")), pick("file_path", "file"))
+    span = F.struct(path.alias("file_path"), *(number(n).alias(n) for n in ("start_line", "start_column", "end_line", "end_column")))
+    both = [F.col(n) for n in ("dependency_ids", "deps") if n in have]
+    none = F.array().cast("array<string>")
     return old.select(
-        pick("id", "declaration_id").alias("declaration_id"), pick("module_path", "module").alias("module_path"), pick("declaration_name", "name").alias("declaration_name"), pick("theorem_kind", "kind").alias("theorem_kind"),
+        pick("declaration_id", "id").alias("declaration_id"), pick("module_path", "module").alias("module_path"), pick("declaration_name", "name").alias("declaration_name"), pick("theorem_kind", "kind").alias("theorem_kind"),
         pick("statement_text", "statement").alias("statement_text"), pick("pretty_statement", "pretty", "statement_text", "statement").alias("pretty_statement"), span.alias("source_span"),
-        (F.col("tags") if "tags" in have else F.array().cast("array<string>")).alias("tags"), (F.col(deps) if deps else F.array().cast("array<string>")).alias("dependency_ids"), F.lit(None).cast("timestamp").alias("indexed_at"), F.lit("").alias("source_text_hash"),
+        (F.coalesce("tags", none) if "tags" in have else none).alias("tags"), F.coalesce(*both, none).alias("dependency_ids"), F.lit(None).cast("timestamp").alias("indexed_at"), F.lit("").alias("source_text_hash"),
     )
 
 
 def canonical_text(leaf: DataFrame) -> DataFrame:
-    """leaf_id, text, hash."""
-    lines = [F.concat(F.lit(f"{n}="), c) for n, c in (("id", F.col("leaf_id")), ("module", F.col("module_path")), ("name", F.col("declaration_name")), ("kind", F.col("theorem_kind")), ("statement", F.col("statement_text")), ("pretty", F.col("pretty_statement")), ("span", F.coalesce(span_text(F.col("source_span")), F.lit(""))), ("tags", F.array_join("tags", ",")), ("dependencies", F.array_join("dependency_ids", ",")))]
-    return leaf.select("leaf_id", F.concat_ws("\n", *lines).alias("text")).withColumn("hash", F.sha2("text", 256))
+    """leaf_id, text (eleven lines), hash; empty lists and a missing address are 'none'."""
+    listed = lambda c: F.when(F.size(c) > 0, F.array_join(c, ",")).otherwise("none")
+    address = F.coalesce(clean_id("source_url"), F.lit("none")) if "source_url" in leaf.columns else F.lit("none")
+    fields = {
+        "schema": F.col("schema_version"), "id": F.col("leaf_id"), "module": F.col("module_path"), "declaration": F.col("declaration_name"), "kind": F.col("theorem_kind"), "span": F.coalesce(span_text(F.col("source_span")), F.lit("")),
+        "statement": json_text(F.col("statement_text")), "pretty": json_text(F.col("pretty_statement")), "dependencies": listed("dependency_ids"), "tags": listed("tags"), "source_url": address,
+    }
+    return leaf.select("leaf_id", F.concat_ws("\n", *(F.concat(F.lit(f"{n}="), c) for n, c in fields.items())).alias("text")).withColumn("hash", F.sha2("text", 256))
+
+
+def tree_inputs(leaf: DataFrame) -> DataFrame:
+    """node_id, statement_text (the pretty one), needs: what trees are built from."""
+    return leaf.select(F.col("leaf_id").alias("node_id"), F.col("pretty_statement").alias("statement_text"), F.col("dependency_ids").alias("needs"))
+
+
+def with_source_url(leaf: DataFrame, base: str) -> DataFrame:
+    """The leaves with source_url: their own, or the one of their span below base."""
+    own = clean_id("source_url") if "source_url" in leaf.columns else F.lit(None).cast("string")
+    s = F.col("source_span")
+    return leaf.withColumn("source_url", F.coalesce(own, source_url(F.lit(base), s["file_path"], s, keep_empty=False)))
