@@ -5,7 +5,7 @@ depend on (`insertion`), pruned and then grouped anew with old summaries reused
 
 A tree is one kernel's work, as its ways follow one another; over `kernel_rows` rows a tree is refused. Plans over whole tables, without a tree, are in change.py.
 
-Defined results: ids are compared trimmed; a tree without cached nodes is built; one without current leaves has no rows but its status; repeated leaves count once, the one with the smallest text.
+Defined results: ids are compared trimmed; a tree without cached nodes is built; of a stored tree without root or with a cycle only summaries are reused; one without current leaves has no rows but its status; repeated leaves count once, the one with the smallest text.
 """
 
 from __future__ import annotations
@@ -337,20 +337,35 @@ def insertion(t: Tree, plan: Plan) -> None:
         t.fill(t.nodes[p], kids)
         pending |= set(t.parents().get(p, ()))
     # from the bottom once more, so that every ancestor is made of its children's last words
-    for p in sorted(t.recomputed, key=lambda i: (_height(t, i), locale_key(i))):
+    height = _heights(t)
+    for p in sorted(t.recomputed, key=lambda i: (height[i], locale_key(i))):
         t.fill(t.nodes[p], t.nodes[p].kids)
     t.set_depths()
 
 
-def _height(t: Tree, i: str) -> int:
-    best, stack, seen = 0, [(i, 0)], set()
-    while stack:
-        j, d = stack.pop()
-        best = max(best, d)
-        if (j, d) not in seen and d <= len(t.nodes):
-            seen.add((j, d))
-            stack += [(k, d + 1) for k in t.nodes[j].kids if k in t.nodes]
-    return best
+def _heights(t: Tree) -> dict[str, int]:
+    """Levels below each node of a tree without cycles."""
+    out: dict[str, int] = {}
+    for i in _children_first(t.nodes):
+        out[i] = 1 + max((out[k] for k in t.nodes[i].kids if k in out), default=-1)
+    return out
+
+
+def _children_first(nodes: dict[str, Node]) -> list[str]:
+    """The nodes, each after its children; those on a cycle, and what leads to them, are left out."""
+    waits = {i: len({k for k in n.kids if k in nodes}) for i, n in nodes.items()}
+    up: dict[str, list[str]] = {}
+    for n in nodes.values():
+        for k in set(n.kids):
+            if k in nodes:
+                up.setdefault(k, []).append(n.id)
+    out = [i for i, w in waits.items() if not w]
+    for i in out:
+        for p in up.get(i, ()):
+            waits[p] -= 1
+            if not waits[p]:
+                out.append(p)
+    return out
 
 
 class Reuse:
@@ -480,7 +495,9 @@ def recovered(nodes: dict[str, Node], root: str, old: dict[str, Leaf], new: dict
         return t
 
     ways = [("rebased", rebased), ("blocked_subtree", upward), ("removal", pruned), ("insertion", grown), ("mixed", mixed), ("regeneration", lambda: regeneration(fresh())), ("rebuild", anew)]
-    for way, run in ways if nodes and root in nodes else ways[-1:]:
+    # a stored tree with a cycle can't be followed up; only its summaries may be of use
+    usable = 0 if nodes and root in nodes and len(_children_first(nodes)) == len(nodes) else -2 if nodes else -1
+    for way, run in ways[usable:]:
         try:
             t = run()
             t.check()

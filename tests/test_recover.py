@@ -82,3 +82,11 @@ def test_trees_by_table(spark):
     assert status == {"p": ("blocked_subtree", ["l0"], ["l0", "l1", "l2"]), "q": ("rebuild", ["only"], ["only"])}
     assert {r.node_id for r in got if r.part == "node" and r.tree_id == "p"} == set(t.nodes) and [r.node_id for r in got if r.tree_id == "q" and r.is_root] == ["only"]
     assert recover.recover(nodes.limit(0), spark.createDataFrame([], "proof_id string, root_id string"), old.limit(0), new.limit(0), CONFIG).count() == 0
+
+
+def test_a_stored_tree_with_a_cycle_is_only_a_source_of_summaries():
+    t = tree_over(BASE)
+    one = next(n for n in t.nodes.values() if n.kind == "parent" and n.id != t.root)
+    one.kids.append(t.root)
+    for new in ({i: x for i, x in BASE.items() if i != "l8"}, BASE | leaves(("new", "lemma extra holds", ["l4"]))):
+        assert recover.recovered(t.nodes, t.root, BASE, new, CONFIG)[0] == "regeneration"
