@@ -27,10 +27,11 @@ METRICS = [
 
 
 def tree_table(tree_nodes: DataFrame) -> DataFrame:
-    """proof_id, node_id, node_kind, statement_text, child_ids, complexity, refs, terms, why, abstraction, confidence, depth: one row a node, the delivery ingested last."""
+    """proof_id, node_id, node_kind, statement_text, child_ids, complexity, refs, terms, why, abstraction, confidence, depth: one row a node, the delivery ingested last. Of the last four a table may lack any."""
+    given = lambda n, t: F.col(n) if n in tree_nodes.columns else F.lit(None).cast(t)
     rows = tree_nodes.select(
         clean_id("proof_id").alias("proof_id"), clean_id("node_id").alias("node_id"), "node_kind", F.coalesce("statement_text", F.lit("")).alias("statement_text"), clean_ids("child_ids").alias("child_ids"), F.col("complexity_score").alias("complexity"),
-        clean_ids("evidence_refs").alias("refs"), clean_ids("new_terms_introduced").alias("terms"), F.coalesce("why_true_from_children", F.lit("")).alias("why"), F.col("abstraction_score").alias("abstraction"), "confidence", F.col("node_depth").alias("depth"), "ingested_at",
+        clean_ids("evidence_refs").alias("refs"), clean_ids("new_terms_introduced").alias("terms"), F.coalesce(given("why_true_from_children", "string"), F.lit("")).alias("why"), given("abstraction_score", "double").alias("abstraction"), given("confidence", "double").alias("confidence"), given("node_depth", "int").alias("depth"), "ingested_at",
     )
     rows = rows.where("proof_id IS NOT NULL AND node_id IS NOT NULL")
     cols = ["node_kind", "statement_text", "child_ids", "complexity", "refs", "terms", "why", "abstraction", "confidence", "depth"]
@@ -64,7 +65,7 @@ def samples(tree: DataFrame, pairs: DataFrame, decided: DataFrame | None = None)
     out = parents.select("proof_id", "node_id", "depth", F.size("child_ids").alias("child_count"), ratio(F.size(F.filter("child_ids", lambda c: F.array_contains("refs", c))), F.size("child_ids"), 1.0).alias("direct"), F.size("terms").alias("n_terms"))
     out = out.join(support, ["proof_id", "node_id"], "left")
     none = {"spread": "double", "order_violations": "int", "evidence": "double", "continuity": "double", "violations": "int"}
-    out = out.join(decided, ["proof_id", "node_id"], "left") if decided is not None else out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
+    out = out.join(decided.select("proof_id", "node_id", *none), ["proof_id", "node_id"], "left") if decided is not None else out.select("*", *(F.lit(None).cast(t).alias(c) for c, t in none.items()))
     z = lambda x, v=0: F.coalesce(x, F.lit(v))
     n = z("n_stems")
     return out.select(

@@ -9,4 +9,4 @@ def test_logs_are_kept_up_to_the_references_default(spark, tmp_path):
     for r in QUERIES["log_interleave"](spark, str(tmp_path)).orderBy("job_id", "at").collect():
         got.setdefault(r.job_id, []).append((r.line_index, r.stream_name, r.message))
     assert got["j30"] == [line(i) for i in range(30)] and got["j400"] == [line(i) for i in range(400)]
-    assert got["j401"] == [line(i) for i in range(399)] + [(None, "system", "log truncated")]
+    assert got["j401"] == [line(i) for i in range(399)] + [(399, "system", "Truncated 2 log lines.")]

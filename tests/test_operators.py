@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lemmaflow.functions import canon, text
-from lemmaflow.operators import change, ingest, leaf, quality, store, tagging, trees
+from lemmaflow.operators import change, ingest, leaf, policy, quality, store, tagging, trees
 
 
 def test_stems_tokens_and_delta(spark):
@@ -12,17 +12,24 @@ def test_stems_tokens_and_delta(spark):
     assert r.s == list(words.values()) and r.n == [] and r.g == ["cat", "hat"]
     assert tuple(r.d) == ("a ", "goo", "ba", "d start ends")
     assert text.fnv1a("") == 0x811C9DC5 and text.fnv1a("a") == 0xE40C292C
-    assert text.first_json_object('said ```json\n{"a": {"b": "}"}}\n``` so') == '{"a": {"b": "}"}}' and text.first_json_object("{no} {\"k\": 1}") == '{"k": 1}' and text.first_json_object(None) is None
+    assert text.first_json_object('said ```json\n{"a": {"b": "}"}}\n``` so') == '{"a": {"b": "}"}}' and text.first_json_object("{no} {\"k\": 1}") == "{no}" and text.first_json_object('x {"a": "}"} y') == '{"a": "}"}' and text.first_json_object(None) is None
 
 
 def test_config_and_profiles():
     c = canon.Config()
-    assert not c.errors() and canon.Config(max_children=1, audience="x").errors() == ["audience", "max_children"]
-    assert c.regeneration(c) == "none" and c.regeneration(canon.Config(language="fr")) == "partial" and c.regeneration(canon.Config(max_children=3)) == "full"
+    # the published hash of the default configuration
+    assert c.hash() == "a75632c3c71bea58a13445a49951b87763ebd9e868fb4f51ac128e6c783e8af7"
+    assert not c.errors() and canon.Config(max_children=1, audience="x").errors() == ["audienceLevel", "maxChildrenPerParent"]
+    assert canon.Config(audience="expert", reading_level="middle_school").errors() == ["readingLevelTarget"]
+    limits = canon.Config(provider=canon.Provider(max_retries=5, timeout_ms=1000))
+    assert c.regeneration(c) == "none" and c.regeneration(limits) == "partial" and limits.changed(c) == ["modelProvider.maxRetries", "modelProvider.timeoutMs"]
+    assert all(c.regeneration(x) == "full" for x in (canon.Config(language="fr"), canon.Config(audience="expert"), canon.Config(max_children=3), canon.Config(provider=canon.Provider(model="m", max_retries=5))))
     assert canon.Config(entailment="strict").coverage_floor() == 1 and abs(c.coverage_floor() - 0.65) < 1e-9
+    assert abs(canon.Config(audience="novice").continuity_threshold() - 0.55) < 1e-9 and abs(canon.Config(audience="expert").continuity_threshold() - 0.65) < 1e-9
     p = canon.Profiles()
-    assert p.upsert("P", "u", "a b", "x", c) == "full" and p.upsert("p", "U", "a b", "x", c) == "none" and list(p.rows) == ["p:u:a_b"] and p.delete("p", "u", "a b")
+    assert p.upsert("P", "u", "a b", "x", c) == "full" and p.upsert("p", "U", "a b", "x", c) == "none" and list(p.rows) == ["project:p:user:u:profile:a_b"] and p.delete("p", "u", "a b")
     assert canon.canonical_json({"b": 1.0, "a": None, "c": [True]}) == '{"b":1,"c":[true]}'
+    assert canon.stable_json({"b": 1, "B": 2, "a_c": 3, "ab": 4}) == '{"a_c":3,"ab":4,"b":1,"B":2}'
 
 
 def test_fingerprint_ignores_order(spark):
@@ -38,10 +45,20 @@ def test_ingestion(spark, rows, tmp_path):
     (tmp_path / "A" / "B.lean").write_text("  theorem «odd name» : x := y\r\nabbrev t := core_safe\n")
     found, links, warn = ingest.ingest(ingest.read_sources(spark, str(tmp_path)))
     got = {r.declaration_name: (r.theorem_kind, r.statement_text, r.start_line, r.end_line) for r in found.collect()}
-    assert got["core_safe"] == ("theorem", "(n : Nat) : n = n", 4, 7) and got["helper"][:2] == ("definition", "Nat")
-    assert got["uses"][1] == "core_safe = helper" and got["t"][1] == "definition t" and "odd name" in got and "no" not in got
+    assert got["core_safe"] == ("theorem", "(n : Nat) : n = n", 4, 7) and got["helper"][:2] == ("definition", ": Nat")
+    assert got["uses"][1] == ": core_safe = helper" and got["t"][1] == "definition t" and got["odd name"][1] == "theorem «odd name» : x" and "no" not in got
     assert rows(links.select(F.regexp_extract("src", "^lean:[^:]+:([^:]+):", 1), F.regexp_extract("dst", "^lean:[^:]+:([^:]+):", 1))) == [("t", "core_safe"), ("uses", "core_safe"), ("uses", "helper")]
-    assert {r.code for r in warn.collect()} == {"unsupported_construct", "parse_fallback"}
+    assert {(r.code, r.line, r.column, r.snippet) for r in warn.collect()} == {("unsupported_construct", 1, 1, "mutual"), ("parse_fallback", 2, 1, "abbrev t := core_safe")}
+    with pytest.raises(ValueError, match="1 unsupported"):
+        ingest.refuse_unsupported(warn)
+    one = spark.createDataFrame([("A.lean", "theorem foo : a bypass b := by simp")], "file_path string, content string")
+    adapters = {"k": tagging.keyword_adapter("d:k", r"(^|/)A$", "zzz"), tagging.FALLBACK: tagging.generic}
+    tagged, none, said = ingest.ingest(one, adapters)
+    assert [(r.statement_text, r.adapter_id, r.tags) for r in tagged.collect()] == [(": a", "k", ["d:k"])]
+    lines = ingest.canonical_lines(tagged, none, said).withColumn("one", F.lit(""))
+    assert canon.group_hash(lines, ["one"], ["part"]).first().lines == 5
+    path = lambda x: spark.range(1).select(ingest.canonical_path("/r/p", F.lit(x))).first()[0]
+    assert [path(x) for x in ("/r/p/A/B.lean", "A//./B.lean", "A/../C.lean", "../x.lean", "/q/r.lean")] == ["A/B.lean", "A/B.lean", "C.lean", "../x.lean", "/q/r.lean"]
 
 
 def test_leaves_and_migration(spark):
@@ -49,16 +66,26 @@ def test_leaves_and_migration(spark):
     got = {r.module_path: r for r in leaf.leaves(leaf.migrated(old)).collect()}
     assert got["m"].theorem_kind == "lemma" and got["m"].dependency_ids == ["a", "b"] and got["m"].pretty_statement == "s" and got["m"].leaf_id.startswith("decl_")
     assert got[""].theorem_kind == "unknown" and got[""].dependency_ids == []
-    assert {(p.path) for p in leaf.problems(leaf.leaves(leaf.migrated(old))).where("path <> 'source_span'").collect()} == {"module_path", "statement_text"}
+    assert {(p.path) for p in leaf.problems(leaf.leaves(leaf.migrated(old))).where("path NOT LIKE 'sourceSpan%'").collect()} == {"modulePath", "statementText"}
+    raw = spark.createDataFrame([("1.0.0", "d", "m", "n", "odd", "s", "p", ("f", 2, 1, 1, 0), ["a", " ", None], None), (None, None, None, None, None, None, None, None, [], [])], "schema_version string, declaration_id string, module_path string, declaration_name string, theorem_kind string, statement_text string, pretty_statement string, source_span struct<file_path:string,start_line:int,start_column:int,end_line:int,end_column:int>, tags array<string>, dependency_ids array<string>")
+    broken = sorted((r.leaf_id or "", r.path) for r in leaf.problems(leaf.as_delivered(raw)).collect())
+    assert [p for i, p in broken if i == "d"] == ["dependencyIds", "sourceSpan.endColumn", "sourceSpan.endLine", "tags", "theoremKind"]
+    assert len([p for i, p in broken if i == ""]) == 12
+    mixed = spark.createDataFrame([("m1", None, "A"), (None, "m2", "B")], "module string, module_path string, name string")
+    assert sorted(r.module_path for r in leaf.migrated(mixed).collect()) == ["m1", "m2"]
 
 
 def test_tags(spark):
     row = spark.createDataFrame([("a", "K.Kernel", "loop_inv", "lemma", "for all state", ""), ("b", "M", "n", "lemma", "nothing here", None)], "leaf_id string, module_path string, declaration_name string, theorem_kind string, statement_text string, pretty_statement string")
-    adapters = {"k": tagging.keyword_adapter("d:k", r"Kernel$", "zzz"), "generic": tagging.generic}
+    adapters = {"k": tagging.keyword_adapter("d:k", r"Kernel$", "zzz"), tagging.FALLBACK: tagging.generic}
     got = {r.leaf_id: r for r in tagging.classify(row, adapters).collect()}
-    assert got["a"].tags == ["concept:loop", "concept:state", "d:k"] and got["a"].confidence == 0.75 and got["b"].adapter_id == "generic"
+    assert got["a"].tags == ["concept:loop", "concept:state", "d:k"] and got["a"].confidence == 0.75 and got["b"].adapter_id == tagging.FALLBACK and got["a"].evidence == ["loop keyword", "module/name signal", "state keyword"]
     forced = {r.leaf_id: r for r in tagging.classify(row, adapters, forced="k").collect()}
-    assert forced["b"].downgraded_from == "k" and forced["b"].warning == "low_confidence_downgrade"
+    assert forced["b"].downgraded_from == "k" and [w.code for w in forced["b"].warnings] == ["low_confidence_downgrade"] and forced["b"].evidence == [tagging.FALLBACK_EVIDENCE]
+    assert [w.code for w in tagging.classify(row, adapters, forced="none").first().warnings] == ["forced_adapter_missing"]
+    o = spark.createDataFrame([("b", "k", 0.05, [" new "], ["kind:lemma"])], "leaf_id string, force_adapter_id string, min_confidence double, add_tags array<string>, remove_tags array<string>")
+    own = {r.leaf_id: r for r in tagging.classify(row, adapters, overrides=o).collect()}
+    assert own["b"].adapter_id == "k" and own["b"].tags == ["new"] and [w.code for w in own["b"].warnings] == ["manual_override_applied"] and own["a"].warnings == []
     samples = spark.createDataFrame([("1", ["x", "y"], ["x", "z"]), ("2", ["x"], ["x"])], "sample_id string, expected array<string>, predicted array<string>")
     m = {r.tag: (r.tp, r.fp, r.fn, r.f1) for r in tagging.evaluate(samples).collect()}
     assert m == {"x": (2, 0, 0, 1.0), "y": (0, 0, 1, 0.0), "z": (0, 1, 0, 0.0)} and tagging.macro(tagging.evaluate(samples)).first().macro_f1 == 0.3333
@@ -114,6 +141,7 @@ def test_change_plan_and_reuse(spark):
 def test_baseline_and_coverage(spark):
     a = spark.createDataFrame([("x", 1, 2), ("y", 1, 2)], "k string, m int, n int")
     b = spark.createDataFrame([("x", 1, 3), ("z", 1, 2)], "k string, m int, n int")
-    assert sorted(map(tuple, quality.compare_baseline(a, b, "k", ["m", "n"]).collect())) == [("x", "field_mismatch", "n"), ("y", "unexpected", ""), ("z", "missing", "")]
-    r = spark.range(1).select(quality.token_coverage(F.lit("merging tokens never fails"), F.array(F.lit("tokens merged")), F.array(F.lit("never"))).alias("c")).first()
+    found = sorted((r.k, r.code, r.field, r.expected, r.actual) for r in quality.compare_baseline(a, b, "k", ["m", "n"]).collect())
+    assert found == [("x", "field_mismatch", "n", "2", "3"), ("y", "missing_preset", "", None, None), ("z", "unexpected_preset", "", None, None)]
+    r = spark.range(1).select(policy.token_coverage(F.lit("merging tokens never fails"), F.array(F.lit("tokens merged")), F.array(F.lit("never"))).alias("c")).first()
     assert r.c.total == 3 and abs(r.c.ratio - 1.0) < 1 or r.c.ratio >= 0
