@@ -38,6 +38,8 @@ CONTEXTS = [(view, n) for view, sizes in VIEWS.items() for n in sizes]
 _B = 0x9E3779B97F4A7C15
 _INV = pow(_B, -1, 1 << 64)
 _BLOCK = 200_000
+#: Languages (two letters each) whose means are sent to every task; more are joined.
+MOST_LANGUAGES = 10_000
 
 
 def masked(c: Column) -> Column:
@@ -219,9 +221,10 @@ def truncated_texts(documents: DataFrame, column: str = "text", end_chance: floa
     The threshold of a language and column lies midway (in log-odds) between the chance of ending at a usual end
     (`end_chance`, or 1 for a word) and that of a cut at a given place, one in the mean length.
     """
-    s = scores(documents, column)
+    s = cut_lineage(scores(documents, column))  # read for the mean and for the values
     mean = s.groupBy("lang").agg(F.greatest(F.avg("chars"), F.lit(100.0)).alias("mean_chars"))
-    s = s.join(mean, "lang")
+    few = mean.count() <= MOST_LANGUAGES
+    s = s.join(F.broadcast(mean) if few else mean, "lang")
     end_at = log_odds(F.sqrt(F.lit(end_chance) / F.col("mean_chars")))
     word_at = log_odds(F.sqrt(F.lit(1.0) / F.col("mean_chars")))
     word, end = log_odds(F.col("p_word")), log_odds(F.col("p_end"))

@@ -181,20 +181,24 @@ def follow(pieces: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: int, a
         a, b = starts[w], starts[w + 1]
         return int(b - a) if j >= 0 and j + b - a <= n and np.array_equal(doc[j : j + b - a], pieces[a:b]) else 0
 
-    def ahead(w: int, j: int, need: int = 2) -> bool:
-        for x in range(w, min(w + need, n_words)):
-            size = equal(x, j)
-            if not size:
-                return False
-            j += size
-        return w < n_words
-
-    def behind(w: int, j: int, need: int = 2) -> bool:
-        for x in range(w - 1, max(w - 1 - need, -1), -1):
-            j -= int(starts[x + 1] - starts[x])
-            if not equal(x, j):
-                return False
-        return w > 0
+    def ahead(w: int, j: int) -> bool:
+        """Two words in a row from here on, or one, a single altered one, and two more."""
+        if w >= n_words or not (size := equal(w, j)):
+            return False
+        if w + 1 >= n_words or equal(w + 1, j + size):
+            return True
+        return any(w + 3 < n_words and (more := equal(w + 2, j + size + g)) and equal(w + 3, j + size + g + more) for g in range(max_piece_gap + 1))
+
+    def behind(w: int, j: int) -> bool:
+        """The same backwards, with word w - 1 ending at j."""
+        if w <= 0 or not (size := equal(w - 1, j - int(starts[w] - starts[w - 1]))):
+            return False
+        if w == 1:
+            return True
+        back = lambda x, k: equal(x - 1, k - int(starts[x] - starts[x - 1]))
+        if back(w - 1, j - size):
+            return True
+        return any(w - 4 >= 0 and (more := back(w - 2, j - size - g)) and back(w - 3, j - size - g - more) for g in range(max_piece_gap + 1))
 
     w, j, run, best, matched = word, at, 0, 0, 0
     edges = []

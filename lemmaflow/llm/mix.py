@@ -30,6 +30,8 @@ from lemmaflow.session import cut_lineage
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The usual split of byte-level BPE into pre-tokens (a fixed value of that vocabulary).
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Rows of targets that one plan holds; a longer list is refused.
+MOST_TARGETS = 100_000
 ROWS = "mix_id string, source string, part int, doc_id long, tokens long, copies int, fraction double"
 
 
@@ -124,14 +126,14 @@ def _rounder(seed: int, level: int):  # noqa: ANN202
 def mixed(documents: DataFrame, targets: DataFrame, seed: int = 0, part_rows: int = 20_000, fanout: int = 64, tokenizer_path: str = DEFAULT_TOKENIZER) -> tuple[DataFrame, DataFrame]:
     """(selection: mix_id, source, doc_id, tokens, copies; wanted: mix_id, source, target_share, tokens, rate)."""
     spark = documents.sparkSession
+    if targets.count() > MOST_TARGETS:  # before anything is collected
+        raise ValueError(f"over {MOST_TARGETS} targets: plan them in parts")
     counts = cut_lineage(token_counts(documents, tokenizer_path))
     sizes = counts.groupBy("source").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("records"))
     # the corpus is every document, whether or not its source is listed
     nameless = token_counts(documents.where(_name("source").isNull()).withColumn("source", F.lit("-")), tokenizer_path)
     total = counts.unionByName(nameless).agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     wanted = plan(sizes, targets, int(total))
-    if len(wanted) > 100_000:
-        raise ValueError("over 100,000 targets: plan them in parts")
     schema = "mix_id string, source string, target_share double, tokens long, rate double"
     want = spark.createDataFrame([(w["mix_id"], w["source"], w["target_share"], w["tokens"], w["rate"]) for w in wanted], schema)
     most = sizes.agg(F.max("records")).first()[0] or 1

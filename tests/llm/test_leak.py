@@ -64,3 +64,14 @@ def test_against_brute_force_on_random_texts(spark):
     expected = sorted((d, k) for d, t in docs for k, p in items if grams(t.split()) & grams(p.split()))
     spans = leak.leaked_spans(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"), altered_words=1000)
     assert sorted((r.doc_id, r.item_id) for r in leak.found(spans).collect()) == expected
+
+
+def test_two_altered_words_with_one_between_them_do_not_end_a_copy():
+    words = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(60)]
+
+    def found(altered, n):
+        text = " ".join(f"zz{i}" if i in altered else w for i, w in enumerate(words[:n]))
+        return leak.search_shard([(7, f"so {text} end")], leak.Passages([(1, " ".join(words[:n]))], 5), 12, 30, 0.8)
+
+    assert [r[5:] for r in found({9, 11, 20}, 30)] == [(30, 27)]
+    assert all(found(set(range(k - 1, 60, k)), 60) for k in (6, 7, 8, 10, 14))
