@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -25,6 +27,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def _drop(spark: SparkSession, folder: str) -> None:
+    local = folder.removeprefix("file://").removeprefix("file:")
+    if local.startswith("/") and os.path.isdir(local):
+        shutil.rmtree(local, ignore_errors=True)
+        return
     try:
         path = spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
@@ -44,6 +50,15 @@ def scratch_folder(spark: SparkSession) -> str:
     return _folders[key]
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what cut_lineage has written in this session so far; for long sessions, between queries whose results are stored or no longer needed."""
+    folder = _folders.get(spark.sparkContext.applicationId)
+    if folder:
+        _drop(spark, folder)
+
+
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the rows as a table in the shared checkpoint folder and go on from it: a lost executor loses nothing, each row is computed
     once, and later joins know the table's size."""
