@@ -274,13 +274,20 @@ def placed_lines(jobs: DataFrame, least: float = 0.6) -> DataFrame:
     rows = rows.repartition(*place).dropDuplicates(["job_id", "stream_name", "block", "line_index", "message"])
     w = Window.partitionBy(*place).orderBy("line_index", "message").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("entry", F.max("starts").over(w))
+    ends = lines.agg(F.min("line_index"), F.max("line_index")).first()
+    if ends[0] is not None and ends[0] // BLOCK != ends[1] // BLOCK:  # else every stream is one block
+        rows = _carried(rows, lines, heads, place)
+    return rows.where("entry IS NOT NULL").drop("block", "starts")
+
+
+def _carried(rows: DataFrame, lines: DataFrame, heads: DataFrame, place: list[str]) -> DataFrame:
+    """The rows with the entries that go on over the beginning of a block, from one row a block."""
     before = Window.partitionBy("job_id", "stream_name").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    ends = lines.groupBy("job_id", "stream_name").agg(F.floor(F.min("line_index") / BLOCK).alias("a"), F.floor(F.max("line_index") / BLOCK).alias("z")).where("a < z").select("job_id", "stream_name")
-    starts = lines.select("job_id", "stream_name", "line_index", "h").join(ends, ["job_id", "stream_name"], "left_semi").join(heads.select("h", F.lit(True).alias("is_head")), "h", "left")
-    last = starts.groupBy("job_id", "stream_name", F.floor(F.col("line_index") / BLOCK).alias("block")).agg(F.max(F.when((F.col("stream_name") == "system") | F.col("is_head"), F.col("line_index"))).alias("last"))
+    block = F.floor(F.col("line_index") / BLOCK).alias("block")
+    starts = lines.select("job_id", "stream_name", "line_index", "h").join(heads.select("h", F.lit(True).alias("is_head")), "h", "left")
+    last = starts.groupBy("job_id", "stream_name", block).agg(F.max(F.when((F.col("stream_name") == "system") | F.col("is_head"), F.col("line_index"))).alias("last"))
     carried = last.withColumn("carried", F.max("last").over(before)).where("carried IS NOT NULL").drop("last")
-    rows = rows.join(carried, place, "left").withColumn("entry", F.coalesce("entry", "carried"))
-    return rows.where("entry IS NOT NULL").drop("carried", "block", "starts")
+    return rows.join(carried, place, "left").withColumn("entry", F.coalesce("entry", "carried")).drop("carried")
 
 
 def found(placed: DataFrame) -> DataFrame:
