@@ -140,7 +140,7 @@ class Passages:
 
     def __init__(self, items: list[tuple[int, str]], seed_words: int) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, np.ndarray, np.ndarray]] = []  # id, pieces, first piece of each word (and the end)
+        self.items: list[tuple[int, list[int], list[int]]] = []  # id, pieces, first piece of each word (and the end)
         seeds: dict[tuple[int, ...], list[tuple[int, int]]] = defaultdict(list)
         self.seed_words = seed_words
         for item_id, passage in items:
@@ -152,7 +152,7 @@ class Passages:
                     pieces.extend(self.vocabulary.setdefault(p, len(self.vocabulary) + 2) for p in found)
             k = len(self.items)
             starts.append(len(pieces))
-            self.items.append((item_id, np.array(pieces, np.int64), np.array(starts, np.int64)))
+            self.items.append((item_id, pieces, starts))
             for w in range(len(starts) - seed_words):
                 seeds[tuple(pieces[starts[w] : starts[w + seed_words]])].append((k, w))
         self.seeds = list(seeds)
@@ -172,14 +172,16 @@ def _runs(lo: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.arange(total) - np.repeat(np.cumsum(sizes) - sizes, sizes) + np.repeat(lo, sizes)
 
 
-def follow(pieces: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: int, at: int, seed_words: int, max_piece_gap: int = 8) -> tuple[int, int, int, int, int, int]:
+def follow(pieces: list[int], starts: list[int], doc: list[int], word: int, at: int, seed_words: int, max_piece_gap: int = 8) -> tuple[int, int, int, int, int, int]:
     """The alignment through one seed: longest exact run, first and last word (exclusive), matched words, first and last piece of the document (exclusive)."""
     n_words, n = len(starts) - 1, len(doc)
 
     def equal(w: int, j: int) -> int:
         """Pieces of word w if the document has them at j, else 0."""
         a, b = starts[w], starts[w + 1]
-        return int(b - a) if j >= 0 and j + b - a <= n and np.array_equal(doc[j : j + b - a], pieces[a:b]) else 0
+        if j < 0 or j + b - a > n or doc[j] != pieces[a]:
+            return 0
+        return b - a if b - a == 1 or doc[j : j + b - a] == pieces[a:b] else 0
 
     def ahead(w: int, j: int) -> bool:
         """Two words in a row from here on, or one, a single altered one, and two more."""
@@ -191,11 +193,11 @@ def follow(pieces: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: int, a
 
     def behind(w: int, j: int) -> bool:
         """The same backwards, with word w - 1 ending at j."""
-        if w <= 0 or not (size := equal(w - 1, j - int(starts[w] - starts[w - 1]))):
+        if w <= 0 or not (size := equal(w - 1, j - (starts[w] - starts[w - 1]))):
             return False
         if w == 1:
             return True
-        back = lambda x, k: equal(x - 1, k - int(starts[x] - starts[x - 1]))
+        back = lambda x, k: equal(x - 1, k - (starts[x] - starts[x - 1]))
         if back(w - 1, j - size):
             return True
         return any(w - 4 >= 0 and (more := back(w - 2, j - size - g)) and back(w - 3, j - size - g - more) for g in range(max_piece_gap + 1))
@@ -219,7 +221,7 @@ def follow(pieces: np.ndarray, starts: np.ndarray, doc: np.ndarray, word: int, a
     best = max(edges)
     w, j, run = word, at, first_run
     while w > 0:
-        size = int(starts[w] - starts[w - 1])
+        size = starts[w] - starts[w - 1]
         if equal(w - 1, j - size):
             w, j, run, matched = w - 1, j - size, run + 1, matched + 1
             best = max(best, run)
@@ -236,12 +238,10 @@ def search_shard(docs: list[tuple[int, str]], passages: Passages, exact_words: i
     if not passages.seeds:
         return []
     vocabulary = passages.vocabulary
-    parts, places, bounds = [], [], [0]
+    parts, bounds = [], [0]
     for _, text in docs:
-        pieces = [(vocabulary.get(m.group(), 1), m.start(), m.end()) for m in _PIECE.finditer(text)]
-        parts.append(np.array([p[0] for p in pieces] + [0], np.int32))
-        places.append(pieces)
-        bounds.append(bounds[-1] + len(pieces) + 1)
+        parts.append(np.array([vocabulary.get(p, 1) for p in _PIECE.findall(text)] + [0], np.int32))
+        bounds.append(bounds[-1] + len(parts[-1]))
     sym = np.concatenate(parts)
     index = FMIndex(sym, largest=len(vocabulary) + 1)
     lo, hi = index.search(passages.phrases, passages.sizes)
@@ -262,11 +262,12 @@ def search_shard(docs: list[tuple[int, str]], passages: Passages, exact_words: i
     reach = np.full(len(word), passages.seed_words, np.int64)
     reach[:-1] = np.where(new[1:], passages.seed_words, np.minimum(word[1:] - word[:-1], passages.seed_words))
     covered = np.add.reduceat(reach, first)
-    rows = []
+    rows, last, text = [], -1, []
     for a, b in [(int(first[k]), int(first[k + 1]) if k + 1 < len(first) else len(doc)) for k in np.flatnonzero(covered >= 2 * passages.seed_words)]:
         d, (item_id, pieces, starts) = int(doc[a]), passages.items[item[a]]
         begin = bounds[d]
-        text = parts[d][:-1]
+        if d != last:
+            last, text = d, parts[d][:-1].tolist()
         seen: list[tuple[int, int, int, int]] = []
         spans = []
         for w, j in sorted(zip(word[a:b].tolist(), (at[a:b] - begin).tolist()), key=lambda x: (x[1], x[0])):
@@ -283,8 +284,9 @@ def search_shard(docs: list[tuple[int, str]], passages: Passages, exact_words: i
                 m[1], m[2], m[3], m[4] = max(m[1], s[1]), max(m[2], s[2]), max(m[3], s[3]), max(m[4], s[4])
             else:
                 merged.append(s)
+        places = [(m.start(), m.end()) for m in _PIECE.finditer(docs[d][1])] if merged else []  # only of documents with a span
         for j0, j1, best, span, matched in merged:
-            rows.append((docs[d][0], item_id, places[d][j0][1], places[d][j1 - 1][2], best, span, matched))
+            rows.append((docs[d][0], item_id, places[j0][0], places[j1 - 1][1], best, span, matched))
     return rows
 
 
