@@ -53,8 +53,51 @@ def pages(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return q.alias("q").join(k, on, "left").select("q.*", "k.at", "k.child_id")
 
 
-def reachable(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """proof_id, node_id that a tree's root leads to, the root too, as far as they are there."""
+def _by_levels(with_path: bool):  # noqa: ANN202
+    def run(key: tuple, cols: dict[str, list]) -> Iterator[tuple]:
+        """What a walk by levels meets, children in their order: the first way to a node is the shortest, and of equal ones the first."""
+        kids: dict[str, list[tuple[int, str]]] = {}
+        for p, c, at in zip(cols["parent_id"], cols["child_id"], cols["child_order"]):
+            if isinstance(p, str):
+                kids.setdefault(p, []).append((int(at), c))
+        root = cols["root_id"][0]
+        up: dict[str, str | None] = {root: None}
+        queue = [root]
+        for i in queue:
+            for _, c in sorted(kids.get(i, ())):
+                if c not in up:
+                    up[c] = i
+                    queue.append(c)
+            if not with_path:
+                yield key[0], i
+                continue
+            trail, j = [], i
+            while j is not None:
+                trail.append(j)
+                j = up[j]
+            yield key[0], i, trail[::-1]
+
+    return run
+
+
+def _small_and_large(nodes: DataFrame, roots: DataFrame, kernel_links: int) -> tuple[DataFrame, DataFrame]:
+    """Rows for _by_levels of the trees that fit one task (proof_id, root_id, parent_id, child_id, child_order), and (proof_id) of the others."""
+    top = roots.select("proof_id", "root_id").join(nodes.select("proof_id", F.col("node_id").alias("root_id")), ["proof_id", "root_id"], "left_semi").distinct()
+    rows = cut_lineage(top.join(child_rows(nodes).where("there").drop("there"), "proof_id", "left"))
+    large = cut_lineage(rows.groupBy("proof_id").count().where(F.col("count") > kernel_links).select("proof_id"))
+    return rows.join(large, "proof_id", "left_anti"), large
+
+
+def reachable(nodes: DataFrame, roots: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+    """proof_id, node_id that a tree's root leads to, the root too, as far as they are there. A tree is walked in one task, one of over `kernel_links` links in rounds over all such trees; the rows are the same."""
+    small, large = _small_and_large(nodes, roots, kernel_links)
+    out = by_group(small, ["proof_id"], ["parent_id", "child_order"], _by_levels(False), "proof_id string, node_id string")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_reachable_rounds(nodes.join(large, "proof_id", "left_semi"), roots.join(large, "proof_id", "left_semi")))
+
+
+def _reachable_rounds(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     kids = cut_lineage(child_rows(nodes).where("there").select("proof_id", "parent_id", F.col("child_id").alias("node_id")).distinct())
     front = seen = cut_lineage(roots.select("proof_id", F.col("root_id").alias("node_id")).join(nodes.select("proof_id", "node_id"), ["proof_id", "node_id"], "left_semi").distinct())
     n = 0
@@ -155,8 +198,16 @@ def view_lines(shown: DataFrame, nodes: DataFrame, roots: DataFrame, config_hash
     return head.select("proof_id", F.col("part").cast("int").alias("part"), "line").unionByName(body)
 
 
-def provenance_paths(nodes: DataFrame, roots: DataFrame) -> DataFrame:
-    """proof_id, node_id, path: the shortest path from the root to each node it leads to, of equal ones the one that comes first by the children's order. Level by level over all trees."""
+def provenance_paths(nodes: DataFrame, roots: DataFrame, kernel_links: int = KERNEL_LINKS) -> DataFrame:
+    """proof_id, node_id, path: the shortest path from the root to each node it leads to, of equal ones the one that comes first by the children's order. Trees of over `kernel_links` links go level by level, as in reachable."""
+    small, large = _small_and_large(nodes, roots, kernel_links)
+    out = by_group(small, ["proof_id"], ["parent_id", "child_order"], _by_levels(True), "proof_id string, node_id string, path array<string>")
+    if large.isEmpty():
+        return out
+    return out.unionByName(_path_rounds(nodes.join(large, "proof_id", "left_semi"), roots.join(large, "proof_id", "left_semi")))
+
+
+def _path_rounds(nodes: DataFrame, roots: DataFrame) -> DataFrame:
     kids = cut_lineage(child_rows(nodes).where("there").groupBy("proof_id", "parent_id", "child_id").agg(F.min("child_order").alias("child_order")))
     front = cut_lineage(roots.select("proof_id", F.col("root_id").alias("node_id")).join(nodes.select("proof_id", "node_id"), ["proof_id", "node_id"], "left_semi").distinct().select("proof_id", "node_id", F.array().cast("array<int>").alias("place"), F.array("node_id").alias("path")))
     done, n = front, 0

@@ -11,6 +11,7 @@ from lemmaflow.functions import canon, text
 from lemmaflow.functions.canon import Config
 from lemmaflow.functions.ids import clean_id
 from lemmaflow.operators import change, graph, hierarchy, ingest, jobs, leaf, logs, nested, orphans, policy, quality, recover, snapshots, store, tagging, trees, views
+from lemmaflow.session import cut_lineage
 from lemmaflow.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -624,11 +625,11 @@ def tree_diff(spark: SparkSession, d: str) -> DataFrame:
 def _changes(spark: SparkSession, d: str) -> DataFrame:
     """Differences between each proof's first and last snapshot, of what their roots lead to."""
     n = store.first_and_last(snapshots.latest_headers(table(spark, d, "tree_snapshots")), table(spark, d, "snapshot_nodes"))
-    sides = []
-    for side in ("old", "new"):
-        t = n.where(F.col("side") == side).select("proof_id", "node_id", "node_kind", F.coalesce("statement_text", F.lit("")).alias("statement_text"), "child_ids", F.col("node_depth").alias("depth"))
-        sides.append(views.comparables(t, _pairs(t), views.reachable(t, _top(t))))
-    return views.diff_report(*sides)
+    # both sides are worked on as trees of their own, at once
+    t = n.select(F.concat_ws("|", "side", "proof_id").alias("proof_id"), "node_id", "node_kind", F.coalesce("statement_text", F.lit("")).alias("statement_text"), "child_ids", F.col("node_depth").alias("depth"))
+    c = cut_lineage(views.comparables(t, _pairs(t), views.reachable(t, _top(t))))
+    of = lambda side: c.where(F.col("proof_id").startswith(f"{side}|")).withColumn("proof_id", F.substring("proof_id", 5, 1 << 30))
+    return views.diff_report(of("old"), of("new"))
 
 
 @query

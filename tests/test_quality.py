@@ -97,6 +97,8 @@ def test_views(spark):
     asked = spark.createDataFrame([("p", "r", 1, 1), ("p", "r", 9, 1), ("p", "a", 0, 1), ("p", "zz", 0, 1)], "proof_id string, node_id string, page_offset int, page_limit int")
     assert sorted((r.node_id, r.page_offset, r.total, r.has_more, r.code or "", r.child_id or "") for r in views.pages(nodes, asked).collect()) == [("a", 0, 0, False, "not_a_parent", ""), ("r", 1, 2, False, "", "c"), ("r", 2, 2, False, "", ""), ("zz", 0, 0, False, "node_not_found", "")]
     assert {r.node_id: r.path for r in views.provenance_paths(nodes, roots).collect()}["b"] == ["r", "m", "b"]
+    for f in (views.provenance_paths, views.reachable):  # one task a tree, and rounds over large ones
+        assert sorted(map(repr, f(nodes, roots).collect())) == sorted(map(repr, f(nodes, roots, 0).collect()))
     assert {r.proof_id: r.loaded for r in views.fully_loaded(nodes, roots).collect()} == {"p": False, "q": False}
     assert views.render_window(1000, 500, 100, 10) == views.RowWindow("windowed", 440, 559, 440, 440) and views.render_window(5, 3).mode == "full" and views.render_window(0, 0).end == -1
     w, above, below = views.scroll_window(100, 250, 10, 5, 2)
